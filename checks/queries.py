@@ -207,15 +207,15 @@ def frame_times(spark, sf):
     rated = ad.table(spark, sf, "events").select(
         "event_id", (F.col("event_id") % 500).alias("frame_id"), F.col("value").alias("fps")
     )
-    return rated.select("event_id", F.round(fm.frame_time(F.col("fps")), 6).alias("ts"))
+    return rated.select("event_id", F.round(fm.frame_time("fps"), 6).alias("ts"))
 
 
 @query
 def window_pointers(spark, sf):
-    start = F.round(fm.window_start(F.col("ts")), 1)
-    boxes = ad.boxes(spark, sf).groupBy("video_id", "frame_id").agg(F.min("ts").alias("ts"))
-    pointer = fm.window_pointer(start, F.round("ts", 1))
-    return boxes.select("video_id", "frame_id", pointer.alias("pointer"), fm.pointer_start(pointer).alias("start_ts"))
+    frames = ad.boxes(spark, sf).groupBy("video_id", "frame_id").agg(F.min("ts").alias("ts"))
+    starts = frames.withColumns({"s": F.round(fm.window_start("ts"), 1), "e": F.round("ts", 1)})
+    labelled = starts.withColumn("pointer", fm.window_pointer("s", "e"))
+    return labelled.select("video_id", "frame_id", "pointer", fm.pointer_start("pointer").alias("start_ts"))
 
 
 @query
@@ -225,8 +225,7 @@ def latlon_to_local(spark, sf):
 
 @query
 def nearest_gates(spark, sf):
-    px, py = fm.bottom_centre()
-    near = nearest_gate(px, py, F.col("gates"))
+    near = nearest_gate(f"({fm.BOTTOM_CENTRE[0]})", fm.BOTTOM_CENTRE[1])
     joined = ad.boxes(spark, sf).join(ad.zones(spark, sf), "video_id")
     return (
         joined.select("video_id", near.alias("near"))
@@ -541,7 +540,8 @@ def lookback_rows(spark, sf):
 def lookback_segments(spark, sf):
     return (
         be.lookback_segments(history(spark, sf))
-        .select("video_id", "track_id", "frame_id", F.explode("segments").alias("s"))
+        .select("video_id", "track_id", "frame_id", F.explode_outer("segments").alias("s"))
+        .where("s is not null")
         .select("video_id", "track_id", "frame_id", "s.state", "s.start_ts", "s.end_ts")
     )
 

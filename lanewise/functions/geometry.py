@@ -1,6 +1,6 @@
-"""Planar geometry as column expressions over array-of-struct polygons and gates."""
+"""Planar geometry as SQL expressions. Arguments are SQL text: column names or fragments."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.schemas import METRES_PER_DEGREE
@@ -8,85 +8,76 @@ from lanewise.schemas import METRES_PER_DEGREE
 PARALLEL_EPS = 1e-10
 
 
-def project(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
+def project(x: str, y: str, h: str = "h") -> tuple[Column, Column]:
     """Applies a row-major 3x3 homography; a vanishing denominator gives (0, 0)."""
-    w = h[6] * x + h[7] * y + h[8]
-    at_infinity = F.abs(w) < 1e-12
-    safe = F.when(at_infinity, F.lit(1.0)).otherwise(w)
-    return (
-        F.when(at_infinity, F.lit(0.0)).otherwise((h[0] * x + h[1] * y + h[2]) / safe),
-        F.when(at_infinity, F.lit(0.0)).otherwise((h[3] * x + h[4] * y + h[5]) / safe),
-    )
+    w = f"({h}[6] * {x} + {h}[7] * {y} + {h}[8])"
+
+    def axis(i: int) -> Column:
+        return F.expr(
+            f"case when abs({w}) < 1e-12D then 0D"
+            f" else ({h}[{i}] * {x} + {h}[{i + 1}] * {y} + {h}[{i + 2}]) / {w} end"
+        )
+
+    return axis(0), axis(3)
 
 
-def point_in_polygon(px: Column, py: Column, polygon: Column) -> Column:
-    """Even-odd ray cast to the right; each edge runs from the previous vertex. No polygon: false."""
-    before = F.concat(F.slice(polygon, -1, 1), polygon)
+def with_edges(zones: DataFrame) -> DataFrame:
+    """Adds ``edges``: per corner, the edge from the corner before it. Done once per zone, not per box."""
+    return zones.withColumn("_before", F.expr("concat(slice(polygon, -1, 1), polygon)")).withColumn(
+        "edges",
+        F.expr(
+            "transform(polygon, (v, i) -> named_struct('x', v.x, 'y', v.y,"
+            " 'ox', get(_before, i).x, 'oy', get(_before, i).y))"
+        ),
+    ).drop("_before")
 
-    def crosses(vertex: Column, i: Column) -> Column:
-        start = F.get(before, i)
-        straddles = (vertex["y"] > py) != (start["y"] > py)
-        slope_x = (start["x"] - vertex["x"]) * (py - vertex["y"]) / F.nullif(
-            start["y"] - vertex["y"], F.lit(0.0)
-        ) + vertex["x"]
-        return straddles & (px < slope_x)
 
-    hits = F.size(F.filter(polygon, crosses))
-    return F.coalesce(F.when(F.size(polygon) > 0, hits % 2 == 1), F.lit(False))
+def point_in_polygon(x: str, y: str, edges: str = "edges") -> Column:
+    """Even-odd ray cast to the right over ``with_edges``. No polygon or no position: false."""
+    return F.expr(
+        f"coalesce(size(filter({edges}, e -> (e.y > {y}) <> (e.oy > {y})"
+        f" and {x} < (e.ox - e.x) * ({y} - e.y) / nullif(e.oy - e.y, 0D) + e.x)) % 2 = 1, false)"
+    )
 
 
-def gate_hits(ax: Column, ay: Column, bx: Column, by: Column, gates: Column) -> Column:
+def gate_hits(ax: str, ay: str, bx: str, by: str, gates: str = "gates") -> Column:
     """Gates that the move a->b touches, in gate order.
 
     ``array<struct<idx, name, direction, x, y>>``. Ends count as touching, parallel moves never
     do. The direction compares the move with the gate's normal, 90 degrees counter-clockwise
     from p1->p2.
     """
-    dx, dy = bx - ax, by - ay
-
-    def meet(g: Column) -> Column:
-        gx, gy = g["p2x"] - g["p1x"], g["p2y"] - g["p1y"]
-        cross = dx * gy - dy * gx
-        safe = F.when(F.abs(cross) < PARALLEL_EPS, F.lit(None).cast("double")).otherwise(cross)
-        t = ((g["p1x"] - ax) * gy - (g["p1y"] - ay) * gx) / safe
-        u = ((g["p1x"] - ax) * dy - (g["p1y"] - ay) * dx) / safe
-        return F.struct(
-            g["idx"].alias("idx"),
-            g["name"].alias("name"),
-            crossing_direction(dx, dy, gx, gy).alias("direction"),
-            (ax + t * dx).alias("x"),
-            (ay + t * dy).alias("y"),
-            (t.between(0.0, 1.0) & u.between(0.0, 1.0)).alias("hit"),
-        )
-
-    return F.filter(F.transform(gates, meet), lambda m: F.coalesce(m["hit"], F.lit(False)))
-
-
-def crossing_direction(dx: Column, dy: Column, gx: Column, gy: Column) -> Column:
-    return F.when(dx * (-gy) + dy * gx >= 0, "enter").otherwise("exit")
+    dx, dy, gx, gy = f"({bx} - {ax})", f"({by} - {ay})", "(g.p2x - g.p1x)", "(g.p2y - g.p1y)"
+    cross = f"({dx} * {gy} - {dy} * {gx})"
+    meet = (
+        f"transform({gates}, g -> named_struct('idx', g.idx, 'name', g.name,"
+        f" 'direction', case when {dx} * (-{gy}) + {dy} * {gx} >= 0 then 'enter' else 'exit' end,"
+        f" 't', case when abs({cross}) >= {PARALLEL_EPS:.0e}D then ((g.p1x - {ax}) * {gy} - (g.p1y - {ay}) * {gx}) / {cross} end,"
+        f" 'u', case when abs({cross}) >= {PARALLEL_EPS:.0e}D then ((g.p1x - {ax}) * {dy} - (g.p1y - {ay}) * {dx}) / {cross} end))"
+    )
+    return F.expr(
+        f"transform(filter({meet}, m -> m.t between 0 and 1 and m.u between 0 and 1),"
+        f" m -> named_struct('idx', m.idx, 'name', m.name, 'direction', m.direction,"
+        f" 'x', {ax} + m.t * {dx}, 'y', {ay} + m.t * {dy}))"
+    )
 
 
-def nearest_gate(px: Column, py: Column, gates: Column) -> Column:
+def nearest_gate(x: str, y: str, gates: str = "gates") -> Column:
     """``struct<d2, idx, name>`` of the gate with the closest midpoint, the first one on ties."""
-
-    def ranked(g: Column) -> Column:
-        mx, my = (g["p1x"] + g["p2x"]) / 2.0, (g["p1y"] + g["p2y"]) / 2.0
-        return F.struct(
-            ((px - mx) * (px - mx) + (py - my) * (py - my)).alias("d2"),
-            g["idx"].alias("idx"),
-            g["name"].alias("name"),
-        )
-
-    return F.array_min(F.transform(gates, ranked))
+    off_x, off_y = f"({x} - (g.p1x + g.p2x) / 2D)", f"({y} - (g.p1y + g.p2y) / 2D)"
+    return F.expr(
+        f"array_min(transform({gates}, g -> named_struct("
+        f"'d2', {off_x} * {off_x} + {off_y} * {off_y}, 'idx', g.idx, 'name', g.name)))"
+    )
 
 
-def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    return F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+def distance(ax: str, ay: str, bx: str, by: str) -> Column:
+    return F.expr(f"sqrt(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}))")
 
 
-def local_east(lat0: Column, lon0: Column, lon: Column) -> Column:
-    return F.round((lon - lon0) * METRES_PER_DEGREE * F.cos(F.radians(lat0)), 4)
+def local_east(lat0: str, lon0: str, lon: str) -> Column:
+    return F.expr(f"round(({lon} - {lon0}) * {METRES_PER_DEGREE}D * cos(radians({lat0})), 4)")
 
 
-def local_north(lat0: Column, lat: Column) -> Column:
-    return F.round((lat - lat0) * METRES_PER_DEGREE, 4)
+def local_north(lat0: str, lat: str) -> Column:
+    return F.expr(f"round(({lat} - {lat0}) * {METRES_PER_DEGREE}D, 4)")

@@ -6,8 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions.geometry import distance
-from lanewise.functions.motion import kmh, with_motion
+from lanewise.functions.motion import with_motion
 from lanewise.plans.chunks import CHUNK
 from lanewise.schemas import (
     AGGRESSIVE_ACCEL_MS2,
@@ -23,57 +22,45 @@ ENTITY = ["video_id", "alert_type", "id_lo", "id_hi"]
 STRIP_WIDTH_M = 64.0
 
 
-def _evidence(**values: Column) -> Column:
-    return F.create_map(*[p for k, v in values.items() for p in (F.lit(k), v.cast("double"))])
+def _evidence(**values: str) -> str:
+    return "map(" + ", ".join(f"'{k}', cast({v} as double)" for k, v in values.items()) + ")"
+
+
+def _by_type(**branches: str) -> Column:
+    return F.expr("case alert_type " + " ".join(f"when '{k}' then {v}" for k, v in branches.items()) + " end")
 
 
 def vehicle_candidates(trajectories: DataFrame) -> DataFrame:
     """Speeding, braking and acceleration alerts of warm rows, before the cool-down."""
-    speed, braking, accel = F.col("speed"), F.col("signed_accel"), F.col("accel_mag")
-
-    def alert(fires: Column, kind: str, severity: str, message: Column, evidence: Column) -> Column:
-        body = F.struct(
-            F.lit(kind).alias("alert_type"),
-            F.lit(severity).alias("severity"),
-            message.alias("message"),
-            evidence.alias("evidence"),
-        )
-        return F.when(fires, F.array(body)).otherwise(F.array())
-
-    vid = F.col("track_id")
-    fired = F.concat(
-        alert(
-            speed > SPEEDING_MS,
-            "SPEEDING",
-            "critical",
-            F.format_string("Vehicle %d is SPEEDING at %.1f m/s (%.1f km/h).", vid, speed, kmh(speed)),
-            _evidence(
-                speed_ms=F.round(speed, 2),
-                speed_kmh=F.round(kmh(speed), 1),
-                threshold_kmh=F.round(F.lit(SPEEDING_MS * 3.6), 1),
-            ),
-        ),
-        alert(
-            braking < HARD_BRAKING_MS2,
-            "HARD_BRAKING",
-            "warning",
-            F.format_string("Vehicle %d HARD BRAKING at %.1f m/s2.", vid, braking),
-            _evidence(signed_accel_ms2=F.round(braking, 2), threshold_ms2=F.lit(HARD_BRAKING_MS2)),
-        ),
-        alert(
-            accel > AGGRESSIVE_ACCEL_MS2,
-            "AGGRESSIVE_ACCEL",
-            "warning",
-            F.format_string("Vehicle %d AGGRESSIVE ACCELERATION at %.1f m/s2.", vid, accel),
-            _evidence(accel_mag_ms2=F.round(accel, 2), threshold_ms2=F.lit(AGGRESSIVE_ACCEL_MS2)),
+    kinds = (
+        f"array_compact(array(case when speed > {SPEEDING_MS}D then 'SPEEDING' end,"
+        f" case when signed_accel < {HARD_BRAKING_MS2}D then 'HARD_BRAKING' end,"
+        f" case when accel_mag > {AGGRESSIVE_ACCEL_MS2}D then 'AGGRESSIVE_ACCEL' end))"
+    )
+    message = _by_type(
+        SPEEDING="format_string('Vehicle %d is SPEEDING at %.1f m/s (%.1f km/h).', track_id, speed, speed * 3.6D)",
+        HARD_BRAKING="format_string('Vehicle %d HARD BRAKING at %.1f m/s2.', track_id, signed_accel)",
+        AGGRESSIVE_ACCEL="format_string('Vehicle %d AGGRESSIVE ACCELERATION at %.1f m/s2.', track_id, accel_mag)",
+    )
+    evidence = _by_type(
+        SPEEDING=_evidence(
+            speed_ms="round(speed, 2)", speed_kmh="round(speed * 3.6D, 1)",
+            threshold_kmh=f"round({SPEEDING_MS}D * 3.6D, 1)",
         ),
+        HARD_BRAKING=_evidence(signed_accel_ms2="round(signed_accel, 2)", threshold_ms2=f"{HARD_BRAKING_MS2}D"),
+        AGGRESSIVE_ACCEL=_evidence(accel_mag_ms2="round(accel_mag, 2)", threshold_ms2=f"{AGGRESSIVE_ACCEL_MS2}D"),
     )
     return (
         with_motion(trajectories.where("warm"))
-        .withColumn("a", F.explode(fired))
+        .withColumn("alert_type", F.expr(f"explode_outer({kinds})"))
+        .where("alert_type is not null")
         .select(
-            "video_id", "frame_id", "ts", "a.alert_type", "a.severity", "track_id",
-            vid.alias("id_lo"), vid.alias("id_hi"), F.array(vid).alias("involved_ids"), "a.message", "a.evidence",
+            "video_id", "frame_id", "ts", "alert_type",
+            F.expr("if(alert_type = 'SPEEDING', 'critical', 'warning')").alias("severity"),
+            "track_id",
+            F.col("track_id").alias("id_lo"), F.col("track_id").alias("id_hi"),
+            F.array("track_id").alias("involved_ids"),
+            message.alias("message"), evidence.alias("evidence"),
         )
     )
 
@@ -89,56 +76,52 @@ def close_pairs(trajectories: DataFrame, radius: float = PROXIMITY_M) -> DataFra
     ``a_id`` is the vehicle the tracker listed first. A pair counts as closing when the distance
     shrinks, or when either velocity is not reliable yet.
     """
-    strip = F.floor(F.col("y") / (radius * 1.001))
-    block = F.floor(F.col("x") / STRIP_WIDTH_M)
-    near_border = F.col("x") - block * STRIP_WIDTH_M <= radius + 0.02
+    w = STRIP_WIDTH_M
     placed = (
         trajectories.select("video_id", "frame_id", "ts", "track_id", "box_ord", "x", "y", "vx", "vy", "warm")
-        .withColumns({"own_strip": strip, "own_block": block, "x_cm": F.floor(F.col("x") * 100)})
-        .withColumn("strip", F.explode(F.array(F.col("own_strip"), F.col("own_strip") + 1)))
+        .withColumns(
+            {
+                "own_strip": F.expr(f"floor(y / {radius * 1.001}D)"),
+                "own_block": F.expr(f"floor(x / {w}D)"),
+                "x_cm": F.expr("floor(x * 100)"),
+            }
+        )
+        .withColumn("strip", F.expr("explode_outer(sequence(own_strip, own_strip + 1))"))
         .withColumn(
             "block",
-            F.explode(
-                F.when(near_border, F.array(F.col("own_block"), F.col("own_block") - 1)).otherwise(
-                    F.array(F.col("own_block"))
-                )
+            F.expr(
+                f"explode_outer(sequence(if(x - own_block * {w}D <= {radius + 0.02}D, own_block - 1, own_block), own_block))"
             ),
         )
+        .withColumn(
+            "me",
+            F.struct("track_id", "box_ord", "x", "y", "vx", "vy", "warm", "x_cm", "own_strip"),
+        )
     )
     sweep = (
         Window.partitionBy("video_id", "frame_id", "strip", "block")
         .orderBy("x_cm")
         .rangeBetween(Window.currentRow, ceil(radius * 100))
     )
-    me = F.struct("track_id", "box_ord", "x", "y", "vx", "vy", "warm", "x_cm", "own_strip")
-
-    def partner(p: Column) -> Column:
-        further = (p["x_cm"] > F.col("x_cm")) | (
-            (p["x_cm"] == F.col("x_cm")) & (p["track_id"] > F.col("track_id"))
-        )
-        here = F.greatest(p["own_strip"], F.col("own_strip")) == F.col("strip")
-        return further & here & (distance(F.col("x"), F.col("y"), p["x"], p["y"]) < radius)
-
-    pairs = (
-        placed.withColumn("near", F.collect_list(me).over(sweep))
-        .where(F.col("block") == F.col("own_block"))
-        .withColumn("q", F.explode(F.filter("near", partner)))
-        .withColumn("p", me)
-    )
-    first = F.col("p.box_ord") < F.col("q.box_ord")
-    ordered = pairs.select(
-        "video_id", "frame_id", "ts",
-        F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"),
-        F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"),
+    partner = (
+        "q -> (q.x_cm > me.x_cm or (q.x_cm = me.x_cm and q.track_id > me.track_id))"
+        " and greatest(q.own_strip, me.own_strip) = strip"
+        f" and sqrt((q.x - me.x) * (q.x - me.x) + (q.y - me.y) * (q.y - me.y)) < {float(radius)}D"
     )
-    dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
-    approach = dx * (F.col("b.vx") - F.col("a.vx")) + dy * (F.col("b.vy") - F.col("a.vy")) < 0
-    return ordered.select(
-        "video_id", "frame_id", "ts",
-        F.col("a.track_id").alias("a_id"),
-        F.col("b.track_id").alias("b_id"),
-        F.sqrt(dx * dx + dy * dy).alias("distance_m"),
-        F.when(F.col("a.warm") & F.col("b.warm"), approach).otherwise(True).alias("closing"),
+    return (
+        placed.withColumn("near", F.collect_list("me").over(sweep))
+        .where("block = own_block and size(near) > 1")
+        .select("video_id", "frame_id", "ts", "me", F.expr(f"explode_outer(filter(near, {partner})) as q"))
+        .where("q is not null")
+        .select(
+            "video_id", "frame_id", "ts",
+            F.expr("if(me.box_ord < q.box_ord, me, q) as a"), F.expr("if(me.box_ord < q.box_ord, q, me) as b"),
+        )
+        .selectExpr(
+            "video_id", "frame_id", "ts", "a.track_id as a_id", "b.track_id as b_id",
+            "sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as distance_m",
+            "not (a.warm and b.warm) or (b.x - a.x) * (b.vx - a.vx) + (b.y - a.y) * (b.vy - a.vy) < 0 as closing",
+        )
     )
 
 
@@ -147,23 +130,32 @@ def pair_candidates(pairs: DataFrame, collision: float = COLLISION_M, proximity:
 
     A pair below the collision distance never also warns of proximity in that frame.
     """
-    d, a, b = F.col("distance_m"), F.col("a_id"), F.col("b_id")
-    crash = d < collision
-    who = {"vehicle_a": a, "vehicle_b": b}
-    return pairs.where(crash | ((d < proximity) & F.col("closing"))).select(
-        "video_id", "frame_id", "ts",
-        F.when(crash, "COLLISION_SUSPECTED").otherwise("PROXIMITY_WARNING").alias("alert_type"),
-        F.when(crash, "critical").otherwise("warning").alias("severity"),
-        a.alias("track_id"),
-        F.least(a, b).alias("id_lo"),
-        F.greatest(a, b).alias("id_hi"),
-        F.array(a, b).alias("involved_ids"),
-        F.when(crash, F.format_string("COLLISION SUSPECTED: Vehicle %d and Vehicle %d are only %.2f m apart.", a, b, d))
-        .otherwise(F.format_string("PROXIMITY WARNING: Vehicle %d and Vehicle %d are %.1f m apart and closing.", a, b, d))
-        .alias("message"),
-        F.when(crash, _evidence(distance_m=F.round(d, 2), collision_threshold_m=F.lit(collision), **who))
-        .otherwise(_evidence(distance_m=F.round(d, 2), warning_threshold_m=F.lit(proximity), **who))
-        .alias("evidence"),
+    who = {"vehicle_a": "a_id", "vehicle_b": "b_id"}
+    message = _by_type(
+        COLLISION_SUSPECTED="format_string('COLLISION SUSPECTED: Vehicle %d and Vehicle %d are only %.2f m apart.',"
+        " a_id, b_id, distance_m)",
+        PROXIMITY_WARNING="format_string('PROXIMITY WARNING: Vehicle %d and Vehicle %d are %.1f m apart and closing.',"
+        " a_id, b_id, distance_m)",
+    )
+    evidence = _by_type(
+        COLLISION_SUSPECTED=_evidence(
+            distance_m="round(distance_m, 2)", collision_threshold_m=f"{float(collision)}D", **who
+        ),
+        PROXIMITY_WARNING=_evidence(distance_m="round(distance_m, 2)", warning_threshold_m=f"{float(proximity)}D", **who),
+    )
+    return (
+        pairs.where(f"distance_m < {float(collision)}D or (distance_m < {float(proximity)}D and closing)")
+        .withColumn(
+            "alert_type", F.expr(f"if(distance_m < {float(collision)}D, 'COLLISION_SUSPECTED', 'PROXIMITY_WARNING')")
+        )
+        .select(
+            "video_id", "frame_id", "ts", "alert_type",
+            F.expr("if(alert_type = 'COLLISION_SUSPECTED', 'critical', 'warning') as severity"),
+            F.col("a_id").alias("track_id"),
+            F.expr("least(a_id, b_id) as id_lo"), F.expr("greatest(a_id, b_id) as id_hi"),
+            F.array("a_id", "b_id").alias("involved_ids"),
+            message.alias("message"), evidence.alias("evidence"),
+        )
     )
 
 
@@ -186,35 +178,31 @@ def cooldown(
     if reach > chunk_frames:
         raise ValueError("a chunk must be longer than the cool-down")
     rest = [c for c in candidates.columns if c not in ENTITY]
-    own = F.floor(F.col("frame_id") / chunk_frames)
-    by_time = F.array_sort(
-        F.collect_list(F.struct(*rest)), lambda a, b: F.signum(a["ts"] - b["ts"]).cast("int")
-    )
     # At most one candidate per frame: an array never outgrows its chunk.
-    packed = candidates.groupBy(*ENTITY, own.alias("chunk")).agg(by_time.alias("seq"))
+    packed = candidates.groupBy(*ENTITY, F.expr(f"floor(frame_id / {chunk_frames})").alias("chunk")).agg(
+        F.collect_list(F.struct(*rest)).alias("seq")
+    ).withColumn("seq", F.expr("array_sort(seq, (a, b) -> cast(signum(a.ts - b.ts) as int))"))
 
-    edge = (F.col("chunk") + 1) * chunk_frames - reach
-    tail = F.transform(F.filter("seq", lambda c: c["frame_id"] >= edge), lambda c: c["ts"])
+    times = packed.select(*ENTITY, "chunk", F.expr("transform(seq, c -> c.ts) as times"))
     carried_over = packed.select(
-        *ENTITY, (F.col("chunk") + 1).alias("chunk"), tail.alias("before")
-    ).where(F.size("before") > 0)
-    times = packed.select(*ENTITY, "chunk", F.transform("seq", lambda c: c["ts"]).alias("times"))
-    first = F.col("times")[0]
+        *ENTITY,
+        (F.col("chunk") + 1).alias("chunk"),
+        F.expr(f"transform(filter(seq, c -> c.frame_id >= (chunk + 1) * {chunk_frames} - {reach}), c -> c.ts) as before"),
+    )
+    silence = f"{float(seconds)}D"
     steps = times.join(carried_over, [*ENTITY, "chunk"], "left").withColumn(
-        "open", F.filter(F.coalesce("before", F.array().cast("array<double>")), lambda t: first - t < seconds)
+        "open", F.expr(f"filter(coalesce(before, cast(array() as array<double>)), t -> times[0] - t < {silence})")
     )
 
-    def last_fired(start: Column) -> Column:
-        return F.aggregate(
-            "times", start, lambda last, t: F.when(last.isNull() | (t - last >= seconds), t).otherwise(last)
-        )
+    def last_fired(start: str) -> str:
+        return f"aggregate(times, {start}, (last, t) -> if(last is null or t - last >= {silence}, t, last))"
 
     handed_on = steps.select(
         *ENTITY,
         "chunk",
         "open",
-        F.transform("open", last_fired).alias("exits"),
-        last_fired(F.lit(None).cast("double")).alias("fresh_exit"),
+        F.expr(f"transform(open, start -> {last_fired('start')}) as exits"),
+        F.expr(f"{last_fired('cast(null as double)')} as fresh_exit"),
     )
     # An entity that never has anything to inherit, nearly all of them, needs no walk.
     chained = handed_on.join(
@@ -246,21 +234,16 @@ def cooldown(
         .where("inherited is not null")
     )
 
-    def fold(acc: Column, c: Column) -> Column:
-        fires = acc["last"].isNull() | (c["ts"] - acc["last"] >= seconds)
-        return F.struct(
-            F.when(fires, c["ts"]).otherwise(acc["last"]).alias("last"),
-            F.when(fires, F.concat(acc["fired"], F.array(c["frame_id"]))).otherwise(acc["fired"]).alias("fired"),
-        )
-
-    zero = F.struct(F.col("inherited").alias("last"), F.array().cast("array<bigint>").alias("fired"))
+    fold = (
+        "aggregate(seq, named_struct('last', inherited, 'fired', cast(array() as array<bigint>)), (acc, c) ->"
+        f" if(acc.last is null or c.ts - acc.last >= {silence},"
+        " named_struct('last', c.ts, 'fired', array_append(acc.fired, c.frame_id)), acc), acc -> acc.fired)"
+    )
     return (
         packed.join(inherited, [*ENTITY, "chunk"], "left")
-        .withColumn("fired", F.aggregate("seq", zero, fold)["fired"])
-        .select(
-            *ENTITY,
-            F.explode(F.filter("seq", lambda c: F.array_contains(F.col("fired"), c["frame_id"]))).alias("c"),
-        )
+        .withColumn("fired", F.expr(fold))
+        .select(*ENTITY, F.expr("explode_outer(filter(seq, c -> array_contains(fired, c.frame_id))) as c"))
+        .where("c is not null")
         .select(*ENTITY, "c.*")
         .select(*candidates.columns)
     )

@@ -2,7 +2,7 @@
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.motion import behaviour_state, window_start, with_motion
@@ -59,76 +59,58 @@ def lookback(
     ticks = active.select(*TRACK, "frame_id", "ts", F.lit(None).alias("sample"), F.lit(True).alias("is_tick"))
     both = with_halo(rows.unionByName(ticks), "frame_id", back=reach, size=chunk_frames)
     span = Window.partitionBy(*TRACK, "chunk").orderBy("frame_id").rangeBetween(-reach, 0)
-    since = window_start(F.col("ts"), seconds)
     return (
         both.withColumn("near", F.collect_list("sample").over(span))
         .where("is_tick and owned")
+        .withColumn("since", window_start("ts", seconds))
         .select(
             *TRACK, "frame_id", "ts",
-            F.array_sort(F.filter("near", lambda s: s["ts"].between(since, F.col("ts")))).alias("history"),
+            F.expr("array_sort(filter(near, s -> s.ts between since and ts)) as history"),
         )
     )
 
 
 def lookback_segments(history: DataFrame, min_seconds: float = MIN_SEGMENT_S) -> DataFrame:
-    """Adds ``segments``: runs of equal state; short ones are dropped unless there is only one run."""
-
-    def changed(s: Column, i: Column) -> Column:
-        return (i == 0) | (s["state"] != F.get("history", i - 1)["state"])
-
-    last_ts = F.element_at("history", -1)["ts"]
-
-    def close(s: Column, i: Column) -> Column:
-        end = F.coalesce(F.get("starts", i + 1)["ts"], last_ts)
-        return F.struct(
-            s["state"].alias("state"), s["ts"].alias("start_ts"), end.alias("end_ts"), (end - s["ts"]).alias("seconds")
-        )
+    """Adds ``segments``: runs of equal state; short ones are dropped unless there is only one run.
 
+    Read them with an outer explode: an inner one makes Spark work them out once more as a filter.
+    """
+    starts = "filter(history, (s, i) -> i = 0 or s.state <> get(history, i - 1).state)"
+    closed = (
+        "transform(starts, (s, i) -> named_struct('state', s.state, 'start_ts', s.ts,"
+        " 'end_ts', coalesce(get(starts, i + 1).ts, element_at(history, -1).ts)))"
+    )
+    long = f"filter(runs, s -> s.end_ts - s.start_ts >= {float(min_seconds)}D)"
     return (
-        history.withColumn("starts", F.filter("history", changed))
-        .withColumn("segments", F.when(F.size("history") > 0, F.transform("starts", close)))
-        .withColumn(
-            "segments",
-            F.when(F.size("segments") > 1, F.filter("segments", lambda s: s["seconds"] >= min_seconds)).otherwise(
-                F.col("segments")
-            ),
-        )
-        .drop("starts")
+        history.withColumn("starts", F.expr(starts))
+        .withColumn("runs", F.expr(f"if(size(history) > 0, {closed}, null)"))
+        .withColumn("segments", F.expr(f"if(size(runs) > 1, {long}, runs)"))
+        .drop("starts", "runs")
     )
 
 
 def lookback_summary(history: DataFrame, min_seconds: float = MIN_SEGMENT_S) -> DataFrame:
     """One line of text per active vehicle, with its current speed and signed acceleration as numbers."""
-    words = F.create_map(
-        *[
-            F.lit(w)
-            for pair in (
-                ("STOPPED", "stationary"), ("BRAKING", "braking"), ("ACCELERATING", "accelerating"), ("MOVING", "moving")
-            )
-            for w in pair
-        ]
-    )
-    parts = F.transform(
-        "segments", lambda s: F.format_string("%s for %.1fs", words[s["state"]], F.round(s["seconds"], 1))
+    words = (
+        "array_join(transform(segments, s -> format_string('%s for %.1fs',"
+        " if(s.state = 'STOPPED', 'stationary', lower(s.state)), round(s.end_ts - s.start_ts, 1))), ' → ')"
     )
-    now = F.element_at("history", -1)
-    known = F.size("history") > 0
-    name = F.format_string("Vehicle %d: ", F.col("track_id"))
-    text = F.when(
-        known,
-        F.concat(
-            name,
-            F.array_join(parts, " → "),
-            F.format_string(
-                " | now: speed=%.1f m/s, accel=%+.1f m/s²", F.round(now["speed"], 1), F.round(now["signed_accel"], 1)
+    current = "format_string(' | now: speed=%.1f m/s, accel=%+.1f m/s²', round(now_speed, 1), round(now_accel, 1))"
+    return (
+        lookback_segments(history, min_seconds)
+        .withColumns(
+            {
+                "now_speed": F.expr("get(history, size(history) - 1).speed"),
+                "now_accel": F.expr("get(history, size(history) - 1).signed_accel"),
+            }
+        )
+        .select(
+            *TRACK, "frame_id", "ts", "segments", "now_speed", "now_accel",
+            F.expr(
+                f"concat('Vehicle ', track_id, ': ', if(now_speed is null, 'no history yet (just appeared)',"
+                f" concat({words}, {current}))) as summary"
             ),
-        ),
-    ).otherwise(F.concat(name, F.lit("no history yet (just appeared)")))
-    return lookback_segments(history, min_seconds).select(
-        *TRACK, "frame_id", "ts", "segments",
-        F.try_element_at("history", F.lit(-1))["speed"].alias("now_speed"),
-        F.try_element_at("history", F.lit(-1))["signed_accel"].alias("now_accel"),
-        text.alias("summary"),
+        )
     )
 
 

@@ -12,7 +12,7 @@ from lanewise.schemas import HISTORY_S
 
 def interaction_edges(triples: DataFrame, seconds: float = HISTORY_S) -> DataFrame:
     """Directed edges with the time window that leads up to the tick; blank ends are dropped."""
-    start = F.round(window_start(F.col("ts"), seconds), 1)
+    start = F.round(window_start("ts", seconds), 1)
     return (
         triples.withColumns({c: F.trim(c) for c in ("subject", "predicate", "object")})
         .where("subject <> '' and object <> ''")
@@ -29,7 +29,7 @@ def interaction_edges(triples: DataFrame, seconds: float = HISTORY_S) -> DataFra
 
 
 def with_pointer(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("window", window_pointer(F.col("win_start"), F.col("win_end")))
+    return edges.withColumn("window", window_pointer("win_start", "win_end"))
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def precedes_edges(
         .distinct()
         .select(
             "video_id", "frame_id",
-            F.round(window_start(F.col("ts"), seconds), 1).alias("win_start"),
+            F.round(window_start("ts", seconds), 1).alias("win_start"),
             F.round("ts", 1).alias("win_end"),
         )
     )

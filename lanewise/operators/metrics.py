@@ -150,14 +150,13 @@ def metrics_report(
 
 def point_errors(pairs: DataFrame, calibrations: DataFrame) -> DataFrame:
     """Ground distance between each projected pixel and its surveyed point, 4 digits."""
-    h = F.col("h")
-    x, y = project(h, F.col("pixel_x"), F.col("pixel_y"))
+    x, y = project("pixel_x", "pixel_y")
     return (
         lookup_join(pairs, calibrations.select("video_id", "h"), ["video_id"], "inner")
         .withColumns({"projected_x": x, "projected_y": y})
         .withColumn(
             "error_m",
-            F.round(distance(F.col("projected_x"), F.col("projected_y"), F.col("world_x"), F.col("world_y")), 4),
+            F.round(distance("projected_x", "projected_y", "world_x", "world_y"), 4),
         )
         .drop("h")
     )

@@ -1,15 +1,14 @@
 """Ground-plane trajectories: projection, gap filling, velocity and acceleration."""
 
 from fractions import Fraction
-from functools import reduce
 from math import factorial, lcm
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import project
 from lanewise.functions.motion import bottom_centre
-from lanewise.plans.chunks import CHUNK, previous, running_sum, with_chunk, with_halo
+from lanewise.plans.chunks import CHUNK, previous, running_sum, with_halo
 from lanewise.plans.joins import lookup_join
 from lanewise.schemas import CROWDED_TRACKS, DETECTION_CONF, MAX_MISSED, SG_ORDER, SG_WINDOW
 
@@ -42,7 +41,7 @@ def project_to_ground(boxes: DataFrame, calibrations: DataFrame) -> DataFrame:
     )
     px, py = bottom_centre()
     with_pixels = joined.withColumns({"px": px, "py": py, "h": h})
-    x, y = project(F.col("h"), F.col("px"), F.col("py"))
+    x, y = project("px", "py")
     return with_pixels.withColumns({"x": x, "y": y}).drop("h")
 
 
@@ -72,8 +71,8 @@ def savgol_weights(window: int, order: int, deriv: int) -> tuple[list[int], int]
 def track_segments(positions: DataFrame, max_missed: int = MAX_MISSED, chunk_frames: int = CHUNK) -> DataFrame:
     """Adds ``gap`` (missed frames before the row) and ``segment``, which a longer gap restarts."""
     with_prev = previous(positions, TRACK, "frame_id", ["frame_id"], chunk_frames)
-    gaps = with_prev.withColumn("gap", F.col("frame_id") - F.col("prev_frame_id") - 1).drop("prev_frame_id")
-    starts = gaps.withColumn("_start", F.when(F.col("gap") <= max_missed, 0).otherwise(1))
+    gaps = with_prev.withColumn("gap", F.expr("frame_id - prev_frame_id - 1")).drop("prev_frame_id")
+    starts = gaps.withColumn("_start", F.expr(f"case when gap <= {max_missed} then 0 else 1 end"))
     return running_sum(starts, TRACK, ["frame_id"], "_start", "segment", chunk_frames).drop("_start")
 
 
@@ -84,29 +83,25 @@ def _filled(positions: DataFrame, history: int, max_missed: int, chunk_frames: i
     and moves ``frame_id, x, y`` of filled rows; other columns keep the real row's values.
     """
     haloed = with_halo(positions, "frame_id", back=history + max_missed, size=chunk_frames)
-    here = Window.partitionBy(*TRACK, "chunk").orderBy("frame_id")
-    gap = F.col("frame_id") - F.col("_prev.frame_id") - 1
-    fills = F.when(gap.between(1, max_missed), gap).otherwise(F.lit(0))
-    alpha = F.col("_i") / (F.col("_fills") + 1)
-    is_real = F.col("_i") == F.col("_fills") + 1
+    here = "over (partition by video_id, track_id, chunk order by frame_id)"
+    fills = f"case when frame_id - _f - 1 between 1 and {max_missed} then frame_id - _f - 1 else 0L end"
 
     def between(c: str) -> Column:
-        start = F.col("_prev")[c]
-        return F.when(is_real, F.col(c)).otherwise(start + alpha * (F.col(c) - start))
+        return F.expr(f"case when _back = 0 then {c} else _{c} + (_n - _back) / _n * ({c} - _{c}) end")
 
     return (
-        haloed.withColumn("_prev", F.lag(F.struct("frame_id", "x", "y")).over(here))
-        .withColumn("_fills", fills)
-        .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_fills") + 1)))
+        haloed.withColumns({f"_{c[0]}": F.expr(f"lag({c}) {here}") for c in ("frame_id", "x", "y")})
+        .withColumn("_n", F.expr(f"{fills} + 1"))
+        .withColumn("_back", F.expr("explode_outer(sequence(_n - 1, 0L, -1L))"))
         .withColumns(
             {
-                "is_real": is_real,
+                "is_real": F.expr("_back = 0"),
                 "x": between("x"),
                 "y": between("y"),
-                "frame_id": F.col("frame_id") - (F.col("_fills") + 1 - F.col("_i")),
+                "frame_id": F.expr("frame_id - _back"),
             }
         )
-        .drop("_prev", "_fills", "_i")
+        .drop("_f", "_x", "_y", "_n", "_back")
     )
 
 
@@ -136,37 +131,34 @@ def trajectories(
     window += window % 2 == 0
     back = window - 1
     filled = _filled(positions, back, max_missed, chunk_frames)
-    here = Window.partitionBy(*TRACK, "chunk").orderBy("frame_id")
-    lagged = filled.withColumns(
-        {f"_p{n}": F.lag(F.struct("x", "y"), n).over(here) for n in range(1, back + 1)}
-        | {"_f1": F.lag("frame_id", 1).over(here), "_fn": F.lag("frame_id", back).over(here)}
-    )
+    here = "over (partition by video_id, track_id, chunk order by frame_id)"
+    lags = {f"_{axis}{n}": f"lag({axis}, {n}) {here}" for axis in "xy" for n in range(1, back + 1)}
+    lags |= {"_f1": f"lag(frame_id) {here}", "_fn": f"lag(frame_id, {back}) {here}"}
+    lagged = filled.select("*", *[F.expr(sql).alias(name) for name, sql in lags.items()])
 
-    def derivative(axis: str, deriv: int) -> Column:
+    def derivative(axis: str, deriv: int) -> str:
         taps, divisor = savgol_weights(window, order, deriv)
-        samples = [F.col(f"_p{n}")[axis] for n in range(back, 0, -1)] + [F.col(axis)]
-        total = reduce(lambda a, b: a + b, (s * float(w) for s, w in zip(samples, taps)))
-        per_second = total / float(divisor) * float(fps)
-        return per_second * float(fps) if deriv == 2 else per_second
+        samples = [f"_{axis}{n}" for n in range(back, 0, -1)] + [axis]
+        total = " + ".join(f"{s} * {float(w)}D" for s, w in zip(samples, taps))
+        return f"({total}) / {float(divisor)}D" + f" * {float(fps)}D" * deriv
 
-    warm = F.coalesce(F.col("_fn") == F.col("frame_id") - back, F.lit(False))
-    follows = F.col("_f1") == F.col("frame_id") - 1
+    def vector(name: str, axis: str, deriv: int, cold: str) -> Column:
+        return F.expr(f"case when warm then {derivative(axis, deriv)} else {cold} end").alias(name)
 
-    def cold(axis: str) -> Column:
-        return F.when(follows, (F.col(axis) - F.col("_p1")[axis]) * float(fps)).otherwise(0.0)
+    def step(axis: str) -> str:
+        return f"case when _f1 = frame_id - 1 then ({axis} - _{axis}1) * {float(fps)}D else 0D end"
 
     return (
         lagged.where("owned and is_real")
-        .withColumn("warm", warm)
-        .withColumns(
-            {
-                "vx": F.when(F.col("warm"), derivative("x", 1)).otherwise(cold("x")),
-                "vy": F.when(F.col("warm"), derivative("y", 1)).otherwise(cold("y")),
-                "ax": F.when(F.col("warm"), derivative("x", 2)).otherwise(0.0),
-                "ay": F.when(F.col("warm"), derivative("y", 2)).otherwise(0.0),
-            }
+        .withColumn("warm", F.expr(f"coalesce(_fn = frame_id - {back}, false)"))
+        .select(
+            *positions.columns,
+            vector("vx", "x", 1, step("x")),
+            vector("vy", "y", 1, step("y")),
+            vector("ax", "x", 2, "0D"),
+            vector("ay", "y", 2, "0D"),
+            "warm",
         )
-        .select(*positions.columns, "vx", "vy", "ax", "ay", "warm")
     )
 
 

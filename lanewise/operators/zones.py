@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.geometry import gate_hits, nearest_gate, point_in_polygon
-from lanewise.functions.motion import bottom_centre
+from lanewise.functions.geometry import gate_hits, nearest_gate, point_in_polygon, with_edges
+from lanewise.functions.motion import BOTTOM_CENTRE, bottom_centre
 from lanewise.plans.chunks import CHUNK, previous, running_sum
 from lanewise.plans.joins import lookup_join
 
@@ -22,21 +22,20 @@ def sightings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) ->
         boxes = boxes.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
     seen = boxes.select(*TRACK, "frame_id", "ts", px.alias("px"), py.alias("py"), "x", "y")
     moves = previous(seen, TRACK, "frame_id", ["px", "py"], chunk_frames)
-    joined = lookup_join(moves, zones, ["video_id"], "inner")
-    return joined.withColumns(
+    no_gates = F.from_json(F.lit("[]"), zones.schema["gates"].dataType)
+    ready = with_edges(zones).withColumn("gates", F.coalesce("gates", no_gates)).drop("polygon")
+    return lookup_join(moves, ready, ["video_id"], "inner").withColumns(
         {
-            "gates": F.coalesce("gates", F.from_json(F.lit("[]"), zones.schema["gates"].dataType)),
-            "inside": point_in_polygon(F.col("px"), F.col("py"), F.col("polygon")),
-            "was_inside": point_in_polygon(F.col("prev_px"), F.col("prev_py"), F.col("polygon")),
-            "first_seen": F.col("prev_px").isNull(),
+            "inside": point_in_polygon("px", "py"),
+            "was_inside": point_in_polygon("prev_px", "prev_py"),
+            "first_seen": F.expr("prev_px is null"),
         }
     )
 
 
 def zone_membership(boxes: DataFrame, zones: DataFrame) -> DataFrame:
-    px, py = bottom_centre()
-    return lookup_join(boxes, zones, ["video_id"], "inner").select(
-        *VISIT, "frame_id", point_in_polygon(px, py, F.col("polygon")).alias("inside")
+    return lookup_join(boxes, with_edges(zones), ["video_id"], "inner").select(
+        *VISIT, "frame_id", point_in_polygon(f"({BOTTOM_CENTRE[0]})", BOTTOM_CENTRE[1]).alias("inside")
     )
 
 
@@ -52,47 +51,36 @@ def crossings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) ->
     Order within a vehicle: ``frame_id, gate_idx``.
     """
     seen = sightings(boxes, zones, chunk_frames)
-    hits = F.when(
-        ~F.col("first_seen"),
-        gate_hits(F.col("prev_px"), F.col("prev_py"), F.col("px"), F.col("py"), F.col("gates")),
-    )
-    missed = (F.size(F.coalesce("hits", F.array())) == 0) & (F.size("gates") > 0)
-    estimate = F.when(
-        missed & F.col("inside") & (F.col("first_seen") | ~F.col("was_inside")), "enter"
-    ).when(missed & ~F.col("first_seen") & F.col("was_inside") & ~F.col("inside"), "exit")
-    guess = F.struct(
-        F.col("near.idx").alias("idx"),
-        F.col("near.name").alias("name"),
-        F.col("estimate").alias("direction"),
-        F.col("px").alias("x"),
-        F.col("py").alias("y"),
-        F.lit("estimated").alias("confidence"),
-    )
-    confirmed = F.transform(
-        "hits",
-        lambda m: F.struct(
-            m["idx"].alias("idx"),
-            m["name"].alias("name"),
-            m["direction"].alias("direction"),
-            m["x"].alias("x"),
-            m["y"].alias("y"),
-            F.lit("confirmed").alias("confidence"),
-        ),
-    )
+    # An outer explode, because Spark turns an inner one into a filter that it pushes below the
+    # projections, and so works everything out twice.
     events = (
-        seen.withColumn("hits", hits)
-        .withColumn("estimate", estimate)
-        .where((F.size("hits") > 0) | F.col("estimate").isNotNull())
-        .withColumn("near", F.when(F.col("estimate").isNotNull(), nearest_gate(F.col("px"), F.col("py"), F.col("gates"))))
-        .withColumn("e", F.explode(F.when(F.col("estimate").isNotNull(), F.array(guess)).otherwise(confirmed)))
+        seen.withColumn("hits", gate_hits("prev_px", "prev_py", "px", "py"))
+        .withColumn("missed", F.expr("coalesce(size(hits), 0) <= 0 and size(gates) > 0"))
+        .withColumn(
+            "estimate",
+            F.expr(
+                "case when missed and inside and (first_seen or not was_inside) then 'enter'"
+                " when missed and not first_seen and was_inside and not inside then 'exit' end"
+            ),
+        )
+        .withColumn("near", F.when(F.col("estimate").isNotNull(), nearest_gate("px", "py")))
+        .withColumn(
+            "e",
+            F.expr(
+                "explode_outer(case when estimate is not null then array(named_struct('idx', near.idx, 'name', near.name,"
+                " 'direction', estimate, 'x', px, 'y', py, 'confidence', 'estimated'))"
+                " else transform(hits, m -> named_struct('idx', m.idx, 'name', m.name, 'direction', m.direction,"
+                " 'x', m.x, 'y', m.y, 'confidence', 'confirmed')) end)"
+            ),
+        )
+        .where("e is not null")
     )
     first_enter = (
         events.where(F.col("e.direction") == "enter").groupBy(*VISIT).agg(F.min("frame_id").alias("first_enter"))
     )
-    late_guess = (F.col("estimate") == "enter") & (F.col("frame_id") > F.col("first_enter"))
     return (
         events.join(first_enter, VISIT, "left")
-        .where(~F.coalesce(late_guess, F.lit(False)))
+        .where("not coalesce(estimate = 'enter' and frame_id > first_enter, false)")
         .select(
             "video_id", "ts", "frame_id", "track_id", "zone_id",
             F.col("e.idx").alias("gate_idx"), F.col("e.name").alias("gate_name"),
@@ -219,11 +207,10 @@ def occupancy(boxes: DataFrame, zones: DataFrame, at: float | None = None) -> Da
     last = seen.groupBy("video_id", "track_id").agg(
         F.max_by(F.struct(px.alias("px"), py.alias("py")), F.col("frame_id")).alias("p")
     )
-    inside = point_in_polygon(F.col("p.px"), F.col("p.py"), F.col("polygon"))
     return (
-        lookup_join(last, zones, ["video_id"], "inner")
+        lookup_join(last, with_edges(zones), ["video_id"], "inner")
         .groupBy("video_id", "zone_id")
-        .agg(F.count_if(inside).alias("occupancy"))
+        .agg(F.count_if(point_in_polygon("p.px", "p.py")).alias("occupancy"))
     )
 
 

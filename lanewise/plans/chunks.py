@@ -19,7 +19,7 @@ CHUNK = 8192
 
 
 def with_chunk(df: DataFrame, order: str = "frame_id", size: int = CHUNK) -> DataFrame:
-    return df.withColumn("chunk", F.floor(F.col(order) / size))
+    return df.withColumn("chunk", F.expr(f"floor({order} / {size})"))
 
 
 def with_halo(
@@ -32,14 +32,13 @@ def with_halo(
     """
     if max(back, ahead) > size:
         raise ValueError(f"halo of {max(back, ahead)} does not fit chunks of {size}")
-    own = F.floor(F.col(order) / size)
-    offset = F.col(order) - own * size
-    copies = F.array(own)
-    if back:
-        copies = F.concat(copies, F.when(offset >= size - back, F.array(own + 1)).otherwise(F.array()))
-    if ahead:
-        copies = F.concat(copies, F.when(offset < ahead, F.array(own - 1)).otherwise(F.array()))
-    return df.withColumn("chunk", F.explode(copies)).withColumn("owned", F.col("chunk") == own)
+    own = f"floor({order} / {size})"
+    offset = f"({order} - {own} * {size})"
+    low = f"case when {offset} < {ahead} then {own} - 1 else {own} end"
+    high = f"case when {offset} >= {size - back} then {own} + 1 else {own} end"
+    return df.withColumn("chunk", F.expr(f"explode_outer(sequence({low}, {high}))")).withColumn(
+        "owned", F.expr(f"chunk = {own}")
+    )
 
 
 def previous(

@@ -111,8 +111,7 @@ def latlon_to_local(placemarks: DataFrame) -> DataFrame:
     origins = placemarks.groupBy("file_id").agg(
         F.min_by(F.struct(F.col("name").alias("origin_name"), "lat", "lon"), rank).alias("o")
     )
-    east = local_east(F.col("o.lat"), F.col("o.lon"), F.col("lon"))
-    north = local_north(F.col("o.lat"), F.col("lat"))
+    east, north = local_east("o.lat", "o.lon", "lon"), local_north("o.lat", "lat")
     return lookup_join(placemarks, origins, ["file_id"], "inner").select(
         "file_id", "ord", "name", F.col("o.origin_name").alias("origin_name"),
         east.alias("world_x"), north.alias("world_y"),

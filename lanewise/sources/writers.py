@@ -46,7 +46,7 @@ def write_zones(df: DataFrame, path: str) -> None:
 def event_chunk_rows(df: DataFrame) -> DataFrame:
     """Event texts worth storing, with their window label; blank ones are dropped."""
     return df.where(F.trim("text") != "").withColumn(
-        "time_window", window_pointer(F.col("start_time"), F.col("end_time"))
+        "time_window", window_pointer("start_time", "end_time")
     )
 
 
