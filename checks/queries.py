@@ -377,7 +377,7 @@ def physics_stats_window(spark, sf):
 
 
 def _vehicle_alert(spark, sf, kind, value):
-    found = al.vehicle_candidates(traj(spark, sf)).where(F.col("alert_type") == kind)
+    found = al.describe(al.vehicle_candidates(traj(spark, sf)).where(F.col("alert_type") == kind))
     return found.select("video_id", "track_id", "frame_id", "severity", F.col("evidence")[value].alias(value))
 
 
@@ -402,7 +402,7 @@ def pair_distances(spark, sf):
 
 
 def _pair_alert(spark, sf, kind):
-    found = al.pair_candidates(al.close_pairs(traj(spark, sf))).where(F.col("alert_type") == kind)
+    found = al.describe(al.pair_candidates(al.close_pairs(traj(spark, sf))).where(F.col("alert_type") == kind))
     return found.select(
         "video_id", "frame_id", "track_id", "id_lo", "id_hi", "severity", F.col("evidence")["distance_m"].alias("distance_m")
     )

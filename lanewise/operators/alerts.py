@@ -3,11 +3,11 @@
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.motion import with_motion
-from lanewise.plans.chunks import CHUNK
+from lanewise.plans.chunks import CHUNK, with_halo
 from lanewise.schemas import (
     AGGRESSIVE_ACCEL_MS2,
     ALERT_RING,
@@ -22,63 +22,45 @@ ENTITY = ["video_id", "alert_type", "id_lo", "id_hi"]
 STRIP_WIDTH_M = 64.0
 
 
-def _evidence(**values: str) -> str:
-    return "map(" + ", ".join(f"'{k}', cast({v} as double)" for k, v in values.items()) + ")"
-
-
-def _by_type(**branches: str) -> Column:
-    return F.expr("case alert_type " + " ".join(f"when '{k}' then {v}" for k, v in branches.items()) + " end")
-
-
 def vehicle_candidates(trajectories: DataFrame) -> DataFrame:
-    """Speeding, braking and acceleration alerts of warm rows, before the cool-down."""
-    kinds = (
-        f"array_compact(array(case when speed > {SPEEDING_MS}D then 'SPEEDING' end,"
-        f" case when signed_accel < {HARD_BRAKING_MS2}D then 'HARD_BRAKING' end,"
-        f" case when accel_mag > {AGGRESSIVE_ACCEL_MS2}D then 'AGGRESSIVE_ACCEL' end))"
-    )
-    message = _by_type(
-        SPEEDING="format_string('Vehicle %d is SPEEDING at %.1f m/s (%.1f km/h).', track_id, speed, speed * 3.6D)",
-        HARD_BRAKING="format_string('Vehicle %d HARD BRAKING at %.1f m/s2.', track_id, signed_accel)",
-        AGGRESSIVE_ACCEL="format_string('Vehicle %d AGGRESSIVE ACCELERATION at %.1f m/s2.', track_id, accel_mag)",
-    )
-    evidence = _by_type(
-        SPEEDING=_evidence(
-            speed_ms="round(speed, 2)", speed_kmh="round(speed * 3.6D, 1)",
-            threshold_kmh=f"round({SPEEDING_MS}D * 3.6D, 1)",
-        ),
-        HARD_BRAKING=_evidence(signed_accel_ms2="round(signed_accel, 2)", threshold_ms2=f"{HARD_BRAKING_MS2}D"),
-        AGGRESSIVE_ACCEL=_evidence(accel_mag_ms2="round(accel_mag, 2)", threshold_ms2=f"{AGGRESSIVE_ACCEL_MS2}D"),
-    )
+    """Speeding, braking and acceleration of warm rows, before the cool-down.
+
+    ``measure`` is the speed, the signed acceleration or its magnitude.
+    """
     return (
         with_motion(trajectories.where("warm"))
-        .withColumn("alert_type", F.expr(f"explode_outer({kinds})"))
-        .where("alert_type is not null")
-        .select(
-            "video_id", "frame_id", "ts", "alert_type",
-            F.expr("if(alert_type = 'SPEEDING', 'critical', 'warning')").alias("severity"),
-            "track_id",
-            F.col("track_id").alias("id_lo"), F.col("track_id").alias("id_hi"),
-            F.array("track_id").alias("involved_ids"),
-            message.alias("message"), evidence.alias("evidence"),
+        .select("video_id", "frame_id", "ts", F.expr(f"explode_outer({_vehicle_alerts('track_id')}) as c"))
+        .where("c is not null")
+        .select("video_id", "frame_id", "ts", "c.*")
+    )
+
+
+def _vehicle_alerts(track: str) -> str:
+    def when(fires: str, kind: str, measure: str) -> str:
+        return (
+            f"case when {fires} then named_struct('alert_type', '{kind}', 'id_lo', {track}, 'id_hi', {track},"
+            f" 'track_id', {track}, 'measure', {measure}) end"
         )
+
+    alerts = (
+        when(f"speed > {SPEEDING_MS}D", "SPEEDING", "speed"),
+        when(f"signed_accel < {HARD_BRAKING_MS2}D", "HARD_BRAKING", "signed_accel"),
+        when(f"accel_mag > {AGGRESSIVE_ACCEL_MS2}D", "AGGRESSIVE_ACCEL", "accel_mag"),
     )
+    return f"array_compact(array({', '.join(alerts)}))"
 
 
-def close_pairs(trajectories: DataFrame, radius: float = PROXIMITY_M) -> DataFrame:
-    """Pairs of vehicles nearer than ``radius`` in the same frame, cold ones included.
+def _sweep(trajectories: DataFrame, radius: float) -> DataFrame:
+    """Every row as ``me`` with its close ``partners`` in a strip; twice, in its own strip and the next.
 
     A sweep instead of a self-join: positions fall into strips a little higher than ``radius``
     and ``STRIP_WIDTH_M`` long, each row also entering the strip above and, near a border, the
     one before. Sorted by x within a strip, a row only meets rows at most ``radius`` further.
-    A pair is kept in exactly one strip, so nothing is lost, repeated or capped.
-
-    ``a_id`` is the vehicle the tracker listed first. A pair counts as closing when the distance
-    shrinks, or when either velocity is not reliable yet.
+    A pair meets in exactly one strip, so nothing is lost, repeated or capped.
     """
     w = STRIP_WIDTH_M
     placed = (
-        trajectories.select("video_id", "frame_id", "ts", "track_id", "box_ord", "x", "y", "vx", "vy", "warm")
+        with_motion(trajectories)
         .withColumns(
             {
                 "own_strip": F.expr(f"floor(y / {radius * 1.001}D)"),
@@ -93,12 +75,13 @@ def close_pairs(trajectories: DataFrame, radius: float = PROXIMITY_M) -> DataFra
                 f"explode_outer(sequence(if(x - own_block * {w}D <= {radius + 0.02}D, own_block - 1, own_block), own_block))"
             ),
         )
-        .withColumn(
-            "me",
-            F.struct("track_id", "box_ord", "x", "y", "vx", "vy", "warm", "x_cm", "own_strip"),
+        .select(
+            "video_id", "frame_id", "ts", "strip", "block", "own_block", "x_cm",
+            F.struct("track_id", "box_ord", "x", "y", "vx", "vy", "warm", "x_cm", "own_strip").alias("me"),
+            "speed", "signed_accel", "accel_mag",
         )
     )
-    sweep = (
+    ahead = (
         Window.partitionBy("video_id", "frame_id", "strip", "block")
         .orderBy("x_cm")
         .rangeBetween(Window.currentRow, ceil(radius * 100))
@@ -109,58 +92,112 @@ def close_pairs(trajectories: DataFrame, radius: float = PROXIMITY_M) -> DataFra
         f" and sqrt((q.x - me.x) * (q.x - me.x) + (q.y - me.y) * (q.y - me.y)) < {float(radius)}D"
     )
     return (
-        placed.withColumn("near", F.collect_list("me").over(sweep))
-        .where("block = own_block and size(near) > 1")
-        .select("video_id", "frame_id", "ts", "me", F.expr(f"explode_outer(filter(near, {partner})) as q"))
-        .where("q is not null")
-        .select(
-            "video_id", "frame_id", "ts",
-            F.expr("if(me.box_ord < q.box_ord, me, q) as a"), F.expr("if(me.box_ord < q.box_ord, q, me) as b"),
-        )
-        .selectExpr(
-            "video_id", "frame_id", "ts", "a.track_id as a_id", "b.track_id as b_id",
-            "sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) as distance_m",
-            "not (a.warm and b.warm) or (b.x - a.x) * (b.vx - a.vx) + (b.y - a.y) * (b.vy - a.vy) < 0 as closing",
+        placed.withColumn("near", F.collect_list("me").over(ahead))
+        .where("block = own_block")
+        .withColumn(
+            "partners",
+            F.expr(f"if(size(near) > 1, transform(filter(near, {partner}), q -> {_PAIR}), cast(array() as {_PAIR_TYPE}))"),
         )
     )
 
 
-def pair_candidates(pairs: DataFrame, collision: float = COLLISION_M, proximity: float = PROXIMITY_M) -> DataFrame:
-    """Collision and proximity alerts of close pairs, before the cool-down.
+_APPROACH = "(q.x - me.x) * (q.vx - me.vx) + (q.y - me.y) * (q.vy - me.vy) < 0"
+_PAIR = (
+    "named_struct('a_id', if(me.box_ord < q.box_ord, me.track_id, q.track_id),"
+    " 'b_id', if(me.box_ord < q.box_ord, q.track_id, me.track_id),"
+    " 'distance_m', sqrt((q.x - me.x) * (q.x - me.x) + (q.y - me.y) * (q.y - me.y)),"
+    f" 'closing', not (me.warm and q.warm) or {_APPROACH})"
+)
+_PAIR_TYPE = "array<struct<a_id: bigint, b_id: bigint, distance_m: double, closing: boolean>>"
+
 
-    A pair below the collision distance never also warns of proximity in that frame.
+def close_pairs(trajectories: DataFrame, radius: float = PROXIMITY_M) -> DataFrame:
+    """Pairs of vehicles nearer than ``radius`` in the same frame, cold ones included.
+
+    ``a_id`` is the vehicle the tracker listed first. A pair counts as closing when the distance
+    shrinks, or when either velocity is not reliable yet.
     """
-    who = {"vehicle_a": "a_id", "vehicle_b": "b_id"}
-    message = _by_type(
-        COLLISION_SUSPECTED="format_string('COLLISION SUSPECTED: Vehicle %d and Vehicle %d are only %.2f m apart.',"
-        " a_id, b_id, distance_m)",
-        PROXIMITY_WARNING="format_string('PROXIMITY WARNING: Vehicle %d and Vehicle %d are %.1f m apart and closing.',"
-        " a_id, b_id, distance_m)",
+    return (
+        _sweep(trajectories, radius)
+        .select("video_id", "frame_id", "ts", F.explode_outer("partners").alias("p"))
+        .where("p is not null")
+        .select("video_id", "frame_id", "ts", "p.*")
     )
-    evidence = _by_type(
-        COLLISION_SUSPECTED=_evidence(
-            distance_m="round(distance_m, 2)", collision_threshold_m=f"{float(collision)}D", **who
-        ),
-        PROXIMITY_WARNING=_evidence(distance_m="round(distance_m, 2)", warning_threshold_m=f"{float(proximity)}D", **who),
+
+
+def _pair_alert(collision: float, proximity: float) -> str:
+    """From pair ``p`` to its alert, null if it is none. A collision never also warns of proximity."""
+    d = "p.distance_m"
+    return (
+        f"case when {d} < {float(collision)}D or ({d} < {float(proximity)}D and p.closing) then named_struct("
+        f"'alert_type', if({d} < {float(collision)}D, 'COLLISION_SUSPECTED', 'PROXIMITY_WARNING'),"
+        f" 'id_lo', least(p.a_id, p.b_id), 'id_hi', greatest(p.a_id, p.b_id), 'track_id', p.a_id, 'measure', {d}) end"
     )
+
+
+def pair_candidates(pairs: DataFrame, collision: float = COLLISION_M, proximity: float = PROXIMITY_M) -> DataFrame:
+    """Collision and proximity alerts of close pairs, before the cool-down; ``measure`` is the distance."""
     return (
-        pairs.where(f"distance_m < {float(collision)}D or (distance_m < {float(proximity)}D and closing)")
-        .withColumn(
-            "alert_type", F.expr(f"if(distance_m < {float(collision)}D, 'COLLISION_SUSPECTED', 'PROXIMITY_WARNING')")
-        )
-        .select(
-            "video_id", "frame_id", "ts", "alert_type",
-            F.expr("if(alert_type = 'COLLISION_SUSPECTED', 'critical', 'warning') as severity"),
-            F.col("a_id").alias("track_id"),
-            F.expr("least(a_id, b_id) as id_lo"), F.expr("greatest(a_id, b_id) as id_hi"),
-            F.array("a_id", "b_id").alias("involved_ids"),
-            message.alias("message"), evidence.alias("evidence"),
-        )
+        pairs.select("video_id", "frame_id", "ts", F.struct("a_id", "b_id", "distance_m", "closing").alias("p"))
+        .select("video_id", "frame_id", "ts", F.expr(_pair_alert(collision, proximity)).alias("c"))
+        .where("c is not null")
+        .select("video_id", "frame_id", "ts", "c.*")
     )
 
 
-def alert_candidates(trajectories: DataFrame) -> DataFrame:
-    return vehicle_candidates(trajectories).unionByName(pair_candidates(close_pairs(trajectories)))
+def alert_candidates(
+    trajectories: DataFrame, collision: float = COLLISION_M, proximity: float = PROXIMITY_M
+) -> DataFrame:
+    """All alerts before the cool-down, vehicles and pairs in the same pass over the trajectories."""
+    alone = f"if(me.warm and me.own_strip = strip, {_vehicle_alerts('me.track_id')}, array())"
+    pairs = f"filter(transform(partners, p -> {_pair_alert(collision, proximity)}), c -> c is not null)"
+    return (
+        _sweep(trajectories, max(collision, proximity))
+        .select("video_id", "frame_id", "ts", F.expr(f"explode_outer(concat({alone}, {pairs})) as c"))
+        .where("c is not null")
+        .select("video_id", "frame_id", "ts", "c.*")
+    )
+
+
+def _evidence(**values: str) -> str:
+    return "map(" + ", ".join(f"'{k}', cast({v} as double)" for k, v in values.items()) + ")"
+
+
+def describe(alerts: DataFrame, collision: float = COLLISION_M, proximity: float = PROXIMITY_M) -> DataFrame:
+    """Adds ``severity, involved_ids, message, evidence``: words for the few alerts that fire."""
+    pair = {"vehicle_a": "track_id", "vehicle_b": "if(track_id = id_lo, id_hi, id_lo)"}
+    distance = "round(measure, 2)"
+    evidence = {
+        "SPEEDING": _evidence(
+            speed_ms="round(measure, 2)", speed_kmh="round(measure * 3.6D, 1)",
+            threshold_kmh=f"round({SPEEDING_MS}D * 3.6D, 1)",
+        ),
+        "HARD_BRAKING": _evidence(signed_accel_ms2="round(measure, 2)", threshold_ms2=f"{HARD_BRAKING_MS2}D"),
+        "AGGRESSIVE_ACCEL": _evidence(accel_mag_ms2="round(measure, 2)", threshold_ms2=f"{AGGRESSIVE_ACCEL_MS2}D"),
+        "COLLISION_SUSPECTED": _evidence(distance_m=distance, collision_threshold_m=f"{float(collision)}D", **pair),
+        "PROXIMITY_WARNING": _evidence(distance_m=distance, warning_threshold_m=f"{float(proximity)}D", **pair),
+    }
+    both = "track_id, if(track_id = id_lo, id_hi, id_lo)"
+    message = {
+        "SPEEDING": "format_string('Vehicle %d is SPEEDING at %.1f m/s (%.1f km/h).', track_id, measure, measure * 3.6D)",
+        "HARD_BRAKING": "format_string('Vehicle %d HARD BRAKING at %.1f m/s2.', track_id, measure)",
+        "AGGRESSIVE_ACCEL": "format_string('Vehicle %d AGGRESSIVE ACCELERATION at %.1f m/s2.', track_id, measure)",
+        "COLLISION_SUSPECTED": "format_string('COLLISION SUSPECTED: Vehicle %d and Vehicle %d are only %.2f m apart.',"
+        f" {both}, measure)",
+        "PROXIMITY_WARNING": "format_string('PROXIMITY WARNING: Vehicle %d and Vehicle %d are %.1f m apart and closing.',"
+        f" {both}, measure)",
+    }
+
+    def by_type(branches: dict[str, str]) -> str:
+        return "case alert_type " + " ".join(f"when '{k}' then {v}" for k, v in branches.items()) + " end"
+
+    return alerts.select(
+        "*",
+        F.expr("if(alert_type in ('SPEEDING', 'COLLISION_SUSPECTED'), 'critical', 'warning') as severity"),
+        F.expr(f"if(id_lo = id_hi, array(track_id), array({both})) as involved_ids"),
+        F.expr(f"{by_type(message)} as message"),
+        F.expr(f"{by_type(evidence)} as evidence"),
+    )
 
 
 def cooldown(
@@ -178,35 +215,32 @@ def cooldown(
     if reach > chunk_frames:
         raise ValueError("a chunk must be longer than the cool-down")
     rest = [c for c in candidates.columns if c not in ENTITY]
-    # At most one candidate per frame: an array never outgrows its chunk.
-    packed = candidates.groupBy(*ENTITY, F.expr(f"floor(frame_id / {chunk_frames})").alias("chunk")).agg(
-        F.collect_list(F.struct(*rest)).alias("seq")
-    ).withColumn("seq", F.expr("array_sort(seq, (a, b) -> cast(signum(a.ts - b.ts) as int))"))
-
-    times = packed.select(*ENTITY, "chunk", F.expr("transform(seq, c -> c.ts) as times"))
-    carried_over = packed.select(
-        *ENTITY,
-        (F.col("chunk") + 1).alias("chunk"),
-        F.expr(f"transform(filter(seq, c -> c.frame_id >= (chunk + 1) * {chunk_frames} - {reach}), c -> c.ts) as before"),
-    )
     silence = f"{float(seconds)}D"
-    steps = times.join(carried_over, [*ENTITY, "chunk"], "left").withColumn(
-        "open", F.expr(f"filter(coalesce(before, cast(array() as array<double>)), t -> times[0] - t < {silence})")
+    # At most one candidate per frame: an array never outgrows its chunk.
+    packed = (
+        with_halo(candidates, "frame_id", back=reach, size=chunk_frames)
+        .groupBy(*ENTITY, "chunk")
+        .agg(F.collect_list(F.struct(*rest, "owned")).alias("all"))
+        .withColumn("all", F.expr("array_sort(all, (a, b) -> cast(signum(a.ts - b.ts) as int))"))
+        .withColumn("seq", F.expr("filter(all, c -> c.owned)"))
+        .where("size(seq) > 0")
     )
 
     def last_fired(start: str) -> str:
-        return f"aggregate(times, {start}, (last, t) -> if(last is null or t - last >= {silence}, t, last))"
-
-    handed_on = steps.select(
-        *ENTITY,
-        "chunk",
-        "open",
-        F.expr(f"transform(open, start -> {last_fired('start')}) as exits"),
-        F.expr(f"{last_fired('cast(null as double)')} as fresh_exit"),
-    )
-    # An entity that never has anything to inherit, nearly all of them, needs no walk.
-    chained = handed_on.join(
-        handed_on.where(F.size("open") > 0).select(*ENTITY).distinct(), ENTITY, "left_semi"
+        return f"aggregate(seq, {start}, (last, c) -> if(last is null or c.ts - last >= {silence}, c.ts, last))"
+
+    handed_on = (
+        packed.withColumn(
+            "open", F.expr(f"transform(filter(all, c -> not c.owned and seq[0].ts - c.ts < {silence}), c -> c.ts)")
+        )
+        .where(f"size(open) > 0 or element_at(seq, -1).frame_id >= (chunk + 1) * {chunk_frames} - {reach}")
+        .select(
+            *ENTITY,
+            "chunk",
+            "open",
+            F.expr(f"transform(open, start -> {last_fired('start')}) as exits"),
+            F.expr(f"{last_fired('cast(null as double)')} as fresh_exit"),
+        )
     )
 
     def walk(batches):
@@ -228,7 +262,7 @@ def cooldown(
     types = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in [*ENTITY, "chunk"]) + ", inherited double"
     inherited = (
-        chained.repartition(*ENTITY)
+        handed_on.repartition(*ENTITY)
         .sortWithinPartitions(*ENTITY, "chunk")
         .mapInPandas(walk, schema)
         .where("inherited is not null")
@@ -250,7 +284,7 @@ def cooldown(
 
 
 def alerts(trajectories: DataFrame, fps: int = 30, seconds: float = COOLDOWN_S, chunk_frames: int = CHUNK) -> DataFrame:
-    return cooldown(alert_candidates(trajectories), seconds, fps, chunk_frames)
+    return describe(cooldown(alert_candidates(trajectories), seconds, fps, chunk_frames))
 
 
 def alert_history(fired: DataFrame, limit: int = ALERT_RING, ring: int = ALERT_RING) -> DataFrame:

@@ -12,9 +12,14 @@ TRACK = ["video_id", "track_id"]
 VISIT = ["video_id", "zone_id", "track_id"]
 
 
-def sightings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) -> DataFrame:
+def sightings(
+    boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK, near_walls_only: bool = True
+) -> DataFrame:
     """Each box against each zone of its camera: positions, membership now and at the sighting before.
 
+    Nothing can happen on a move that stays clear of every polygon edge and gate, so by default
+    only first sightings and moves near one are kept.
+
     Boxes may bring ground positions ``x, y``; without them crossings report (0, 0).
     """
     px, py = bottom_centre()
@@ -23,8 +28,14 @@ def sightings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) ->
     seen = boxes.select(*TRACK, "frame_id", "ts", px.alias("px"), py.alias("py"), "x", "y")
     moves = previous(seen, TRACK, "frame_id", ["px", "py"], chunk_frames)
     no_gates = F.from_json(F.lit("[]"), zones.schema["gates"].dataType)
-    ready = with_edges(zones).withColumn("gates", F.coalesce("gates", no_gates)).drop("polygon")
-    return lookup_join(moves, ready, ["video_id"], "inner").withColumns(
+    ready = with_walls(with_edges(zones).withColumn("gates", F.coalesce("gates", no_gates))).drop("polygon")
+    joined = lookup_join(moves, ready, ["video_id"], "inner")
+    if near_walls_only:
+        joined = joined.where(
+            "prev_px is null or exists(walls, w -> least(prev_px, px) <= w.x1 and greatest(prev_px, px) >= w.x0"
+            " and least(prev_py, py) <= w.y1 and greatest(prev_py, py) >= w.y0)"
+        )
+    return joined.withColumns(
         {
             "inside": point_in_polygon("px", "py"),
             "was_inside": point_in_polygon("prev_px", "prev_py"),
@@ -33,6 +44,18 @@ def sightings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) ->
     )
 
 
+def with_walls(zones: DataFrame, slack: float = 1e-3) -> DataFrame:
+    """Adds ``walls``: the bounding box, a little widened, of each polygon edge and gate."""
+
+    def box(v: str, ax: str, ay: str, bx: str, by: str) -> str:
+        sides = [f"least({v}.{ax}, {v}.{bx})", f"greatest({v}.{ax}, {v}.{bx})", f"least({v}.{ay}, {v}.{by})", f"greatest({v}.{ay}, {v}.{by})"]
+        named = zip(("x0", "x1", "y0", "y1"), sides, ("-", "+", "-", "+"))
+        return f"{v} -> named_struct(" + ", ".join(f"'{n}', {side} {sign} {slack}D" for n, side, sign in named) + ")"
+
+    edges, gates = box("e", "x", "y", "ox", "oy"), box("g", "p1x", "p1y", "p2x", "p2y")
+    return zones.withColumn("walls", F.expr(f"concat(transform(edges, {edges}), transform(gates, {gates}))"))
+
+
 def zone_membership(boxes: DataFrame, zones: DataFrame) -> DataFrame:
     return lookup_join(boxes, with_edges(zones), ["video_id"], "inner").select(
         *VISIT, "frame_id", point_in_polygon(f"({BOTTOM_CENTRE[0]})", BOTTOM_CENTRE[1]).alias("inside")

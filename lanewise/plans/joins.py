@@ -24,3 +24,12 @@ def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row aggregate to every row."""
     tag = {"_one": F.lit(0)}
     return df.withColumns(tag).join(F.broadcast(one_row.withColumns(tag)), "_one").drop("_one")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Brings a scan of few splits onto all cores before an explode multiplies its rows.
+
+    A scan that already has enough splits, as any large table has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

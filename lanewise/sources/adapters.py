@@ -8,6 +8,8 @@ the data. Nothing here shuffles, whatever the key skew of the tables.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.plans.joins import spread
+
 FPS = 10
 EVENTS_PER_VIDEO = 500
 
@@ -30,7 +32,7 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked boxes; one row per (video, track, frame)."""
     return (
-        _passages(spark, sf_dir)
+        spread(_passages(spark, sf_dir).drop("event_type"), "track_id")
         .selectExpr("*", "explode(sequence(0, 39)) as j")
         .where("(j + k) % 24 >= k % 8")
         .selectExpr(
