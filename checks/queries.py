@@ -20,6 +20,7 @@ from lanewise.operators import trajectories as tr
 from lanewise.operators import triples as tp
 from lanewise.operators import vectors as ve
 from lanewise.operators import zones as zo
+from lanewise.plans.staging import staged
 from lanewise.sources import adapters as ad
 from lanewise.sources import readers as rd
 from lanewise.sources import writers as wr
@@ -432,7 +433,7 @@ def alert_history(spark, sf):
 
 @query
 def alert_effectiveness(spark, sf):
-    candidates = al.alert_candidates(traj(spark, sf))
+    candidates = staged(al.alert_candidates(traj(spark, sf)))
     return al.alert_effectiveness(candidates, al.cooldown(candidates, fps=FPS, chunk_frames=CHUNK))
 
 
@@ -798,7 +799,7 @@ def model_quality(spark, sf):
 
 @query
 def alert_metrics(spark, sf):
-    candidates = al.alert_candidates(traj(spark, sf))
+    candidates = staged(al.alert_candidates(traj(spark, sf)))
     fired = al.cooldown(candidates, fps=FPS, chunk_frames=CHUNK)
     return me.alert_metrics(candidates, fired).withColumn("distribution", F.to_json("distribution"))
 
@@ -829,7 +830,7 @@ def route_distribution(spark, sf):
 
 @query
 def metrics_report(spark, sf):
-    candidates = al.alert_candidates(traj(spark, sf))
+    candidates = staged(al.alert_candidates(traj(spark, sf)))
     fired = al.cooldown(candidates, fps=FPS, chunk_frames=CHUNK)
     boxes = ad.boxes(spark, sf)
     eligible = be.eligible_frames(boxes)

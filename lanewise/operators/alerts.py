@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions.motion import with_motion
 from lanewise.plans.chunks import CHUNK, with_halo
+from lanewise.plans.staging import staged
 from lanewise.schemas import (
     AGGRESSIVE_ACCEL_MS2,
     ALERT_RING,
@@ -214,6 +215,7 @@ def cooldown(
     reach = ceil(seconds * fps) + 1
     if reach > chunk_frames:
         raise ValueError("a chunk must be longer than the cool-down")
+    candidates = staged(candidates)
     rest = [c for c in candidates.columns if c not in ENTITY]
     silence = f"{float(seconds)}D"
     # At most one candidate per frame: an array never outgrows its chunk.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions.motion import behaviour_state, window_start, with_motion
 from lanewise.plans.chunks import CHUNK, following, ordinal, previous, with_halo
+from lanewise.plans.staging import staged
 from lanewise.schemas import (
     CLIP_FRAMES,
     FIRST_FRAME_MOTION,
@@ -26,11 +27,12 @@ def with_state(trajectories: DataFrame) -> DataFrame:
 
 
 def behaviour_runs(trajectories: DataFrame, chunk_frames: int = CHUNK) -> DataFrame:
-    """Stretches of equal state over a whole track; each ends where the next begins, the last at its last row."""
-    rows = with_state(trajectories).select(*TRACK, "frame_id", "ts", "state")
-    starts = previous(rows, TRACK, "frame_id", ["state"], chunk_frames).where(
-        ~F.col("state").eqNullSafe(F.col("prev_state"))
-    )
+    """Stretches of equal state over a whole track; each ends where the next begins, the last at its last row.
+
+    States are staged, because runs need them three times.
+    """
+    rows = staged(with_state(trajectories).select(*TRACK, "frame_id", "ts", "state"))
+    starts = previous(rows, TRACK, "frame_id", ["state"], chunk_frames).where("not state <=> prev_state")
     last = rows.groupBy(*TRACK).agg(F.max("ts").alias("last_ts"))
     return (
         following(starts, TRACK, "frame_id", ["ts"], chunk_frames)
@@ -236,6 +238,6 @@ def changed_profiles(profiles: DataFrame, chunk_frames: int = CHUNK) -> DataFram
     said = profiles.where(F.trim("summary") != "")
     return (
         previous(said, TRACK, "frame_id", ["summary"], chunk_frames)
-        .where(~F.col("summary").eqNullSafe(F.col("prev_summary")))
+        .where("not summary <=> prev_summary")
         .drop("prev_summary")
     )

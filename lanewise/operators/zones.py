@@ -7,6 +7,7 @@ from lanewise.functions.geometry import gate_hits, nearest_gate, point_in_polygo
 from lanewise.functions.motion import BOTTOM_CENTRE, bottom_centre
 from lanewise.plans.chunks import CHUNK, previous, running_sum
 from lanewise.plans.joins import lookup_join
+from lanewise.plans.staging import staged
 
 TRACK = ["video_id", "track_id"]
 VISIT = ["video_id", "zone_id", "track_id"]
@@ -22,11 +23,19 @@ def sightings(
 
     Boxes may bring ground positions ``x, y``; without them crossings report (0, 0).
     """
+    moves = previous(box_points(boxes), TRACK, "frame_id", ["px", "py"], chunk_frames)
+    return against_zones(moves, zones, near_walls_only)
+
+
+def box_points(boxes: DataFrame) -> DataFrame:
     px, py = bottom_centre()
     if "x" not in boxes.columns:
         boxes = boxes.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
-    seen = boxes.select(*TRACK, "frame_id", "ts", px.alias("px"), py.alias("py"), "x", "y")
-    moves = previous(seen, TRACK, "frame_id", ["px", "py"], chunk_frames)
+    return boxes.select(*TRACK, "frame_id", "ts", px.alias("px"), py.alias("py"), "x", "y")
+
+
+def against_zones(moves: DataFrame, zones: DataFrame, near_walls_only: bool = True) -> DataFrame:
+    """Moves ``prev_px, prev_py`` -> ``px, py`` joined with the zones of their camera."""
     no_gates = F.from_json(F.lit("[]"), zones.schema["gates"].dataType)
     ready = with_walls(with_edges(zones).withColumn("gates", F.coalesce("gates", no_gates))).drop("polygon")
     joined = lookup_join(moves, ready, ["video_id"], "inner")
@@ -71,12 +80,31 @@ def crossings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) ->
 
     Membership that changes without a touched gate is put down to the nearest gate: an entry on
     first sight inside, an entry later only while the vehicle has none, an exit always.
-    Order within a vehicle: ``frame_id, gate_idx``.
+    Order within a vehicle: ``frame_id, gate_idx``. The few events are staged on the way.
     """
-    seen = sightings(boxes, zones, chunk_frames)
+    events = staged(gate_events(sightings(boxes, zones, chunk_frames)))
+    first_enter = (
+        events.where(F.col("e.direction") == "enter").groupBy(*VISIT).agg(F.min("frame_id").alias("first_enter"))
+    )
+    return (
+        events.join(first_enter, VISIT, "left")
+        .where("not coalesce(estimate = 'enter' and frame_id > first_enter, false)")
+        .selectExpr(*CROSSING)
+    )
+
+
+CROSSING = [
+    "video_id", "ts", "frame_id", "track_id", "zone_id", "e.idx as gate_idx", "e.name as gate_name",
+    "e.direction as direction", "e.confidence as confidence", "e.x as pixel_x", "e.y as pixel_y",
+    "x as real_x", "y as real_y",
+]
+
+
+def gate_events(seen: DataFrame) -> DataFrame:
+    """Touched gates and guesses ``e`` of each sighting; ``estimate`` tells guesses apart. Needs no shuffle."""
     # An outer explode, because Spark turns an inner one into a filter that it pushes below the
     # projections, and so works everything out twice.
-    events = (
+    return (
         seen.withColumn("hits", gate_hits("prev_px", "prev_py", "px", "py"))
         .withColumn("missed", F.expr("coalesce(size(hits), 0) <= 0 and size(gates) > 0"))
         .withColumn(
@@ -97,20 +125,7 @@ def crossings(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) ->
             ),
         )
         .where("e is not null")
-    )
-    first_enter = (
-        events.where(F.col("e.direction") == "enter").groupBy(*VISIT).agg(F.min("frame_id").alias("first_enter"))
-    )
-    return (
-        events.join(first_enter, VISIT, "left")
-        .where("not coalesce(estimate = 'enter' and frame_id > first_enter, false)")
-        .select(
-            "video_id", "ts", "frame_id", "track_id", "zone_id",
-            F.col("e.idx").alias("gate_idx"), F.col("e.name").alias("gate_name"),
-            F.col("e.direction").alias("direction"), F.col("e.confidence").alias("confidence"),
-            F.col("e.x").alias("pixel_x"), F.col("e.y").alias("pixel_y"),
-            F.col("x").alias("real_x"), F.col("y").alias("real_y"),
-        )
+        .select(*VISIT, "frame_id", "ts", "x", "y", "estimate", "e")
     )
 
 
