@@ -476,7 +476,7 @@ SQL = {
         "select video_id, zone_id, track_id, frame_id, gate_idx, gate_name, direction, confidence from crossing where confidence = 'estimated'", "crossing"),
     "crossings": sql(
         """select video_id, zone_id, track_id, frame_id, gate_idx, gate_name, direction, confidence, ts, round(pixel_x, 4) as pixel_x, round(pixel_y, 4) as pixel_y,
-        round(real_x, 4) as real_x, round(real_y, 4) as real_y from crossing""", "crossing"),
+        round(real_x, 6) as real_x, round(real_y, 6) as real_y from crossing""", "crossing"),
     "gate_counts": sql(
         "select video_id, zone_id, gate_name, count(*) filter (direction = 'enter') as enter, count(*) filter (direction = 'exit') as exit from crossing group by all", "crossing"),
     "gate_counts_window": sql(

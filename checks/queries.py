@@ -464,7 +464,7 @@ def estimated_crossings(spark, sf):
 def crossings(spark, sf):
     return gate_events(spark, sf).select(
         *EVENT_COLS, "ts", F.round("pixel_x", 4).alias("pixel_x"), F.round("pixel_y", 4).alias("pixel_y"),
-        F.round("real_x", 4).alias("real_x"), F.round("real_y", 4).alias("real_y"),
+        r6("real_x"), r6("real_y"),
     )
 
 

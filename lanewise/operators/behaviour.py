@@ -234,8 +234,11 @@ def profile_snapshots(
 
 
 def changed_profiles(profiles: DataFrame, chunk_frames: int = CHUNK) -> DataFrame:
-    """Drops blank summaries and those equal to the vehicle's summary before."""
-    said = profiles.where(F.trim("summary") != "")
+    """Drops blank summaries and those equal to the vehicle's summary before.
+
+    The lines are staged: they are read twice, and their text is costly to put together.
+    """
+    said = staged(profiles).where(F.trim("summary") != "")
     return (
         previous(said, TRACK, "frame_id", ["summary"], chunk_frames)
         .where("not summary <=> prev_summary")

@@ -49,9 +49,12 @@ def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("video_id", checked.alias("h"), "rmse_meters")
 
 
-def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Zone files; polygon and gates default to empty, gates keep their order as ``idx``."""
-    raw = spark.read.schema(ZONE_FILE).option("multiLine", True).json(path)
+def read_zones(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Zone files; polygon and gates default to empty, gates keep their order as ``idx``.
+
+    A file is one JSON document, or one zone per line (``lines``), as ``write_zones`` leaves it.
+    """
+    raw = spark.read.schema(ZONE_FILE).option("multiLine", not lines).json(path)
     polygon = F.transform(
         F.coalesce("polygon", F.array().cast("array<array<double>>")),
         lambda p: F.struct(p[0].alias("x"), p[1].alias("y")),

@@ -32,7 +32,7 @@ def write_alerts(df: DataFrame, path: str) -> None:
 
 
 def write_zones(df: DataFrame, path: str) -> None:
-    """Zone files in the shape ``read_zones`` takes."""
+    """One zone per line, as ``read_zones(..., lines=True)`` takes it."""
     polygon = F.transform("polygon", lambda p: F.array(p["x"], p["y"]))
     gates = F.transform(
         F.array_sort("gates"),
