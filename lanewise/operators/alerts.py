@@ -30,13 +30,15 @@ def vehicle_candidates(trajectories: DataFrame) -> DataFrame:
     """
     return (
         with_motion(trajectories.where("warm"))
-        .select("video_id", "frame_id", "ts", F.expr(f"explode_outer({_vehicle_alerts('track_id')}) as c"))
+        .select("video_id", "frame_id", "ts", F.expr(f"explode_outer(array({_vehicle_alerts('track_id')})) as c"))
         .where("c is not null")
         .select("video_id", "frame_id", "ts", "c.*")
     )
 
 
 def _vehicle_alerts(track: str) -> str:
+    """One struct per kind of alert, null where it does not fire."""
+
     def when(fires: str, kind: str, measure: str) -> str:
         return (
             f"case when {fires} then named_struct('alert_type', '{kind}', 'id_lo', {track}, 'id_hi', {track},"
@@ -48,7 +50,7 @@ def _vehicle_alerts(track: str) -> str:
         when(f"signed_accel < {HARD_BRAKING_MS2}D", "HARD_BRAKING", "signed_accel"),
         when(f"accel_mag > {AGGRESSIVE_ACCEL_MS2}D", "AGGRESSIVE_ACCEL", "accel_mag"),
     )
-    return f"array_compact(array({', '.join(alerts)}))"
+    return ", ".join(alerts)
 
 
 def _sweep(trajectories: DataFrame, radius: float) -> DataFrame:
@@ -150,11 +152,16 @@ def alert_candidates(
     trajectories: DataFrame, collision: float = COLLISION_M, proximity: float = PROXIMITY_M
 ) -> DataFrame:
     """All alerts before the cool-down, vehicles and pairs in the same pass over the trajectories."""
-    alone = f"if(me.warm and me.own_strip = strip, {_vehicle_alerts('me.track_id')}, array())"
-    pairs = f"filter(transform(partners, p -> {_pair_alert(collision, proximity)}), c -> c is not null)"
+    pair = _pair_alert(collision, proximity)
+    # A row's own alerts go with its first partner, or with none, in its own strip.
+    alone = "coalesce(n, 0) = 0 and me.warm and me.own_strip = strip"
     return (
         _sweep(trajectories, max(collision, proximity))
-        .select("video_id", "frame_id", "ts", F.expr(f"explode_outer(concat({alone}, {pairs})) as c"))
+        .select("*", F.posexplode_outer("partners").alias("n", "p"))
+        .select(
+            "video_id", "frame_id", "ts",
+            F.expr(f"explode_outer(if({alone}, array({_vehicle_alerts('me.track_id')}, {pair}), array({pair}))) as c"),
+        )
         .where("c is not null")
         .select("video_id", "frame_id", "ts", "c.*")
     )

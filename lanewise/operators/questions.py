@@ -8,7 +8,8 @@ from lanewise.functions.text import vehicle_number
 from lanewise.operators.rules import evaluate_rules
 from lanewise.operators.zones import in_period
 from lanewise.plans.chunks import CHUNK, asof
-from lanewise.plans.joins import lookup_join
+from lanewise.plans.joins import interval_join, lookup_join
+from lanewise.plans.staging import staged
 from lanewise.schemas import HARD_BRAKING_MS2
 
 TRACK = ["video_id", "track_id"]
@@ -33,7 +34,10 @@ def braked_before_exit(summary: DataFrame, trajectories: DataFrame, gate: str |
 def interaction_speed(
     edges: DataFrame, trajectories: DataFrame, partner_type: str = "Pedestrian", chunk_frames: int = CHUNK
 ) -> DataFrame:
-    """Speed of each vehicle at its interactions with ``partner_type``: its latest row up to the edge."""
+    """Speed of each vehicle at its interactions with ``partner_type``: its latest row up to the edge.
+
+    The speeds are staged, as the as-of join reads them more than once.
+    """
     seen = F.array(
         F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("kind"), F.col("object_type").alias("other")),
         F.struct(F.col("object").alias("name"), F.col("object_type").alias("kind"), F.col("subject_type").alias("other")),
@@ -45,7 +49,7 @@ def interaction_speed(
         .where("track_id is not null")
         .select(*TRACK, "frame_id", "predicate")
     )
-    rows = with_motion(trajectories).select(*TRACK, "frame_id", "speed")
+    rows = staged(with_motion(trajectories).select(*TRACK, "frame_id", "speed"))
     return asof(vehicles, rows, TRACK, "frame_id", ["speed"], chunk_frames)
 
 
@@ -91,7 +95,7 @@ def incident(events: DataFrame, edges: DataFrame, trajectories: DataFrame) -> Da
         .select("incident_id", *TRACK, "win_start", "win_end")
         .distinct()
     )
-    rows = trajectories.join(involved, TRACK).where(F.col("ts").between(F.col("win_start"), F.col("win_end")))
+    rows = interval_join(trajectories, involved, TRACK, "win_start", "win_end")
     # One rule pass per (incident, vehicle): the incident takes the place of the video in the key.
     keyed = rows.withColumn("video_id", F.struct("incident_id", "video_id"))
     return evaluate_rules(keyed).select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions.motion import kmh, with_motion
-from lanewise.plans.joins import lookup_join
+from lanewise.plans.joins import interval_join
 from lanewise.schemas import AGGRESSIVE_ACCEL_MS2, HARD_BRAKING_MS2, SPEEDING_MS
 
 TRACK = ["video_id", "track_id"]
@@ -112,8 +112,7 @@ def physics_stats(trajectories: DataFrame, requests: DataFrame | None = None) ->
     """Peak speed, strongest deceleration and row count per vehicle, or per requested time window."""
     keys = list(TRACK)
     if requests is not None:
-        asked = lookup_join(trajectories, requests.select(*TRACK, "t0", "t1"), TRACK, "inner")
-        trajectories = asked.where(F.col("ts").between(F.col("t0"), F.col("t1")))
+        trajectories = interval_join(trajectories, requests.select(*TRACK, "t0", "t1"), TRACK, "t0", "t1")
         keys += ["t0", "t1"]
     return (
         with_motion(trajectories)

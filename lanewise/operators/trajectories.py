@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lanewise.functions.geometry import project
 from lanewise.functions.motion import bottom_centre
 from lanewise.plans.chunks import CHUNK, previous, running_sum, with_halo
-from lanewise.plans.joins import lookup_join
+from lanewise.plans.joins import interval_join, lookup_join
 from lanewise.schemas import CROWDED_TRACKS, DETECTION_CONF, MAX_MISSED, SG_ORDER, SG_WINDOW
 
 TRACK = ["video_id", "track_id"]
@@ -164,8 +164,7 @@ def trajectories(
 
 def trajectory_window(trajectories: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of each requested (video, track) between ``t0`` and ``t1``, both included."""
-    asked = lookup_join(trajectories, requests.select(*TRACK, "t0", "t1"), TRACK, "inner")
-    return asked.where(F.col("ts").between(F.col("t0"), F.col("t1")))
+    return interval_join(trajectories, requests.select(*TRACK, "t0", "t1"), TRACK, "t0", "t1")
 
 
 def track_lifespan(trajectories: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def extract_triples(texts: DataFrame) -> DataFrame:
     skipped. ``ord`` is the position in the answer.
     """
     strict = {"allowSingleQuotes": "false"}
-    found = _elements(texts).select(*texts.columns, F.posexplode("items").alias("ord", "item")).drop("raw_text")
+    found = _elements(texts).select(*texts.columns, F.posexplode_outer("items").alias("ord", "item")).drop("raw_text")
     parsed = found.where(F.ltrim("item").startswith("{")).withColumn("t", F.from_json("item", TRIPLE, strict))
     complete = F.lit(True)
     for part in REQUIRED:

@@ -104,19 +104,15 @@ def asof(
     multiplied out. ``right`` needs unique (keys, order).
     """
     value = F.struct(*cols)
-    merged = with_chunk(
-        left.select(*keys, order, F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right")).unionByName(
-            right.select(*keys, order, F.lit(None).alias("_left"), value.alias("_right"))
-        ),
-        order,
-        size,
+    left, right = with_chunk(left, order, size), with_chunk(right, order, size)
+    merged = (
+        left.select(*keys, order, "chunk", F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
+        .unionByName(right.select(*keys, order, "chunk", F.lit(None).alias("_left"), value.alias("_right")))
     )
-    per_chunk = (
-        with_chunk(right, order, size).groupBy(*keys, "chunk").agg(F.max_by(value, F.col(order)).alias("_edge"))
-    )
-    # Chunks without right rows inherit too, so spread the summaries over every chunk in use.
-    in_use = merged.select(*keys, "chunk").distinct().join(per_chunk, [*keys, "chunk"], "left")
-    carried = in_use.select(
+    per_chunk = right.groupBy(*keys, "chunk").agg(F.max_by(value, F.col(order)).alias("_edge"))
+    # Chunks with left rows only inherit too.
+    in_use = left.select(*keys, "chunk").distinct()
+    carried = per_chunk.join(in_use, [*keys, "chunk"], "full").select(
         *keys,
         "chunk",
         F.last("_edge", ignorenulls=True)
@@ -133,4 +129,5 @@ def asof(
         .withColumn("_found", F.coalesce(F.last("_right", ignorenulls=True).over(here), F.col("_carried")))
         .where(F.col("_left").isNotNull())
         .select("_left.*", *[F.col("_found")[c].alias(c) for c in cols])
+        .drop("chunk")
     )

@@ -33,3 +33,28 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def interval_join(
+    rows: DataFrame,
+    spans: DataFrame,
+    keys: list[str],
+    start: str,
+    end: str,
+    ts: str = "ts",
+    bucket: float = 10.0,
+    max_buckets: int = 64,
+) -> DataFrame:
+    """Rows with each span of their key that contains ``ts``, both ends included.
+
+    Both sides meet in time buckets, so a key with many rows and many spans is not multiplied out.
+    Spans over more than ``max_buckets`` buckets, which contain most rows anyway, meet on the key.
+    """
+    wide = f"floor({end} / {bucket}) - floor({start} / {bucket}) >= {max_buckets}"
+    within = F.col(ts).between(F.col(start), F.col(end))
+    sliced = spans.where(f"not ({wide}) and {start} <= {end}").withColumn(
+        "_bucket", F.expr(f"explode_outer(sequence(floor({start} / {bucket}), floor({end} / {bucket})))")
+    )
+    short = rows.withColumn("_bucket", F.expr(f"floor({ts} / {bucket})")).join(sliced, [*keys, "_bucket"])
+    long = rows.join(spans.where(wide), keys)
+    return short.where(within).drop("_bucket").unionByName(long.where(within))

@@ -129,7 +129,7 @@ def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         " '\", \"phase\": \"', case k % 5 when 0 then 'Conflict' when 1 then 'resolution' else '' end, '\"}')"
     )
     return (
-        _passages(spark, sf_dir)
+        spread(_passages(spark, sf_dir), "track_id")
         .selectExpr(
             "*",
             f"{triples} as one",

@@ -12,7 +12,7 @@ from lanewise.operators import graph as gr
 from lanewise.operators import metrics as me
 from lanewise.operators import triples as tp
 from lanewise.operators import vectors as ve
-from lanewise.plans import chunks, ranks
+from lanewise.plans import chunks, joins, ranks
 
 TEXT = "video_id string, frame_id bigint, ts double, raw_text string, active_ids array<bigint>"
 ONE = '{"subject": "Vehicle 4", "predicate": "tailgating", "object": "Vehicle 9"%s}'
@@ -232,3 +232,15 @@ def test_frame_times_and_pointers(spark):
     assert [r[0] for r in df.select(fm.frame_time()).collect()] == pytest.approx([30 / 29, 1.0, 1.0])
     p = spark.createDataFrame([(12.0,), (2.0,)], "ts double").withColumn("s", fm.window_start("ts")).withColumn("p", fm.window_pointer("s", "ts"))
     assert [(r.p, r.v) for r in p.select("p", fm.pointer_start("p").alias("v")).collect()] == [("7.0-12.0", 7.0), ("0.0-2.0", 0.0)]
+
+
+def test_interval_join_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = [("v", t, rng.uniform(0, 2000)) for t in (1, 2) for _ in range(150)] + [("v", 1, 30.0)]
+    spans = [("v", rng.choice([1, 2]), a, a + rng.choice([0.0, 5.0, 300.0, 1500.0])) for a in (rng.uniform(0, 1500) for _ in range(40))]
+    spans += [("v", 1, 10.0, 30.0), ("v", 1, 30.0, 20.0)]
+    rdf = spark.createDataFrame(rows, "video_id string, track_id bigint, ts double")
+    sdf = spark.createDataFrame(spans, "video_id string, track_id bigint, t0 double, t1 double")
+    want = sorted((t, ts, a, b) for _, t, ts in rows for _, u, a, b in spans if t == u and a <= ts <= b)
+    got = joins.interval_join(rdf, sdf, ["video_id", "track_id"], "t0", "t1")
+    assert sorted((r.track_id, r.ts, r.t0, r.t1) for r in got.collect()) == want
