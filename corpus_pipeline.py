@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise.llm import decontamination, mixing, neardup, pii, quality
 from lanewise.llm.queries import pii_key, table
@@ -25,8 +26,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced."""
-    return pii.without_pii(docs, pii_key(spark))
+    """Personal data is replaced; addresses may change in length."""
+    replaced = pii.without_pii(docs, pii_key(spark))
+    return replaced.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else replaced
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
