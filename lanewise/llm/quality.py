@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import SLICE_BYTES, blocks_for
+from lanewise.llm.common import blocks_for
 from lanewise.plans.joins import lookup_join
 from lanewise.plans.staging import staged
 
@@ -28,6 +28,8 @@ LOW, HIGH = 0.001, 0.995
 MARGIN = 0.05
 #: The mean over n n-grams scatters as 1 / sqrt(n): short texts get so much more room.
 SCATTER = 2.0
+#: Characters that are worked on at a time: the arrays over them are the memory a task needs.
+SLICE = 1 << 19
 #: Up to this many possible contexts, n-grams are counted in arrays, else by sorting.
 MOST_CELLS = 1 << 24
 
@@ -47,8 +49,11 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams as strings, the index of each n-gram in the texts among them, n-grams a text."""
     flat, runs = codes_of(texts)
-    letters, code = np.unique(flat, return_inverse=True)
-    width = len(letters)
+    number = np.zeros(0x110000, np.int32)
+    number[flat] = 1
+    letters = np.flatnonzero(number)
+    number[letters] = np.arange(len(letters))
+    code, width = number[flat], len(letters)
     ends = np.cumsum(runs + ORDER - 1)
     last = np.arange(int(runs.sum())) + np.repeat(ends - runs - (np.cumsum(runs) - runs), runs)
     key = code[last - (ORDER - 1)].astype(np.int64)
@@ -95,7 +100,7 @@ def by_language(langs: list[str], texts: list[str | None]):
         start, size = 0, 0
         for k, i in enumerate(rows):
             size += len(texts[i])
-            if size >= SLICE_BYTES or k == len(rows) - 1:
+            if size >= SLICE or k == len(rows) - 1:
                 yield lang, rows[start : k + 1], [texts[j] for j in rows[start : k + 1]]
                 start, size = k + 1, 0
 
@@ -221,13 +226,16 @@ def _scorer(trusted_only: bool):
         for lang, part in answers.groupby("lang"):
             none = lambda s: s.astype(object).where(s.notna(), None)
             models[lang] = dict(zip(part["gram"], zip(none(part["p"]), none(part["weight"]), strict=True), strict=True))
+        values: dict[str, dict[str, float]] = {}
         n = np.zeros(len(block), np.int64)
         log = np.full(len(block), np.nan)
         for lang, rows, texts in by_language(list(block["lang"]), list(block["text"])):
             grams, index, runs = grams_of(texts)
             n[rows] = runs
             if lang in models:
-                value = np.array([log_probability(g, models[lang]) for g in grams.tolist()])
+                known, model = values.setdefault(lang, {}), models[lang]
+                known.update((g, log_probability(g, model)) for g in grams.tolist() if g not in known)
+                value = np.array([known[g] for g in grams.tolist()])
                 sums = np.add.reduceat(value[index], np.cumsum(runs) - runs)
                 log[rows] = -sums / runs
         block = block.assign(n_grams=n, log_perplexity=log).drop(columns="block")
