@@ -26,7 +26,7 @@ TREES = 30
 DEPTH = 8
 RECALL = 0.9999
 #: Shingles a block of a group may hold, and those that small groups compared in one go may hold.
-BLOCK_SHINGLES = 600_000
+BLOCK_SHINGLES = 400_000
 #: A shingle that more classes of a block share is counted by matrix products, a rarer one by pairs.
 DENSE_FROM = 24
 
@@ -248,7 +248,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     prefixes = classes.select("key", F.explode("prefixes").alias("prefix"))
     shared = prefixes.groupBy("prefix").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     edges = prefixes.join(shared, "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    return components(edges.distinct())
+    return components(edges)
 
 
 def verify(docs: DataFrame, classes: DataFrame, column: str, threshold: float, width: int) -> DataFrame:
