@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: A-Z lower-cased, everything outside words turned into a space. Words are ``[0-9a-z\x80-\xff]+`` in
 #: UTF-8, which is ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` in characters.
 WORD_BYTES = bytes(
@@ -35,7 +35,7 @@ def annotate(df: DataFrame, column: str, make, fields: list[T.StructField]) -> D
         fn = make()
         types = [pa_type(f.dataType) for f in fields]
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, pc.struct_field(batch.column(0), at)):
                 row = part.column(0)
                 out = fn(pc.struct_field(row, at).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays(
@@ -46,9 +46,9 @@ def annotate(df: DataFrame, column: str, make, fields: list[T.StructField]) -> D
     return source.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, at: int):
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> list[pa.RecordBatch]:
     """The batch in runs of rows of about ``SLICE_BYTES`` of text, so that word lists stay small."""
-    sizes = pc.fill_null(pc.binary_length(pc.struct_field(batch.column(0), at)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(sizes.astype(np.int64) + 64) // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
     return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import annotate, words
+from lanewise.llm.common import annotate, slices, words
 from lanewise.llm.components import components
 from lanewise.plans.staging import staged
 
@@ -270,18 +270,18 @@ def verify(docs: DataFrame, classes: DataFrame, column: str, threshold: float, w
     with_text = text.join(chosen.select("key", "rep", "group", "copies", "block", "blocks"), text["rep"].eqNullSafe(chosen["rep"]))
     with_text = with_text.drop("rep")
     at = {c: i for i, c in enumerate(with_text.columns)}
+    kept = ["key", "group", "copies", "block", "blocks"]
 
     def sets(batches):
-        for batch in batches:
-            split = [words(t) for t in batch.column(at["text"]).cast(pa.binary()).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, batch.column(at["text"]))):
+            split = [words(t) for t in part.column(at["text"]).cast(pa.binary()).to_pylist()]
             # Rows of the same id but another text are not the class's.
-            keys = batch.column(at["key"]).to_pylist()
+            keys = part.column(at["key"]).to_pylist()
             mine = [i for i, w in enumerate(split) if word_key(w) == keys[i]]
-            found = shingle_sets([split[i] for i in mine], width)
-            rest = batch.take(pa.array(mine, pa.int64()))
+            rest = part.take(pa.array(mine, pa.int64()))
+            found = [s.tolist() for s in shingle_sets([split[i] for i in mine], width)]
             yield pa.RecordBatch.from_arrays(
-                [*[rest.column(at[c]) for c in ("key", "group", "copies", "block", "blocks")], pa.array([s.tolist() for s in found], pa.list_(pa.int64()))],
-                names=["key", "group", "copies", "block", "blocks", "shingles"],
+                [*[rest.column(at[c]) for c in kept], pa.array(found, pa.list_(pa.int64()))], names=[*kept, "shingles"]
             )
 
     made = with_text.mapInArrow(sets, "key string, group string, copies long, block int, blocks int, shingles array<long>")

@@ -8,8 +8,8 @@ in its language.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ LOW, HIGH = 0.001, 0.995
 MARGIN = 0.05
 #: The mean over n n-grams scatters as 1 / sqrt(n): short texts get so much more room.
 SCATTER = 2.0
-#: Characters that are worked on at a time: the arrays over them are the memory a task needs.
+#: Bytes of text that are worked on at a time: the arrays over them are the memory a task needs.
 SLICE = 1 << 19
 #: Up to this many possible contexts, n-grams are counted in arrays, else by sorting.
 MOST_CELLS = 1 << 24
@@ -90,18 +90,22 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seen, place[seen], number[key]
 
 
-def by_language(langs: list[str], texts: list[str | None]):
-    """``lang, positions, texts`` in slices of bounded size; null and empty texts are left out."""
+def by_language(langs: list[str], column):
+    """``lang, positions, texts`` in slices of bounded size; null and empty texts are left out.
+
+    ``column`` is an Arrow column of strings, of which only a slice at a time becomes Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     groups: dict[str, list[int]] = {}
-    for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
-        if text:
+    for i, (lang, size) in enumerate(zip(langs, sizes, strict=True)):
+        if size:
             groups.setdefault(lang, []).append(i)
     for lang, rows in groups.items():
         start, size = 0, 0
         for k, i in enumerate(rows):
-            size += len(texts[i])
+            size += sizes[i]
             if size >= SLICE or k == len(rows) - 1:
-                yield lang, rows[start : k + 1], [texts[j] for j in rows[start : k + 1]]
+                yield lang, rows[start : k + 1], [column[j].as_py() for j in rows[start : k + 1]]
                 start, size = k + 1, 0
 
 
@@ -113,7 +117,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lang, _, texts in by_language(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, _, texts in by_language(batch.column(0).to_pylist(), batch.column(1)):
                 grams, index, _ = grams_of(texts)
                 yield pa.RecordBatch.from_pydict(
                     {"lang": [lang] * len(grams), "gram": grams.tolist(), "c": np.bincount(index, minlength=len(grams))}
@@ -206,41 +210,44 @@ def log_probability(gram: str, model: dict[str, tuple[float | None, float | None
 # ---- scoring ------------------------------------------------------------------------------
 
 
-def _ask(block: pd.DataFrame) -> pd.DataFrame:
+ASKED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.string())])
+
+
+def _ask(block: pa.Table) -> pa.Table:
+    """The distinct grams, and parts of grams, that a block's texts are scored from."""
     wanted: dict[str, set] = {}
-    for lang, _, texts in by_language(list(block["lang"]), list(block["text"])):
+    for lang, _, texts in by_language(block.column("lang").to_pylist(), block.column("text")):
         wanted.setdefault(lang, set()).update(grams_of(texts)[0].tolist())
     out = []
     for lang, grams in wanted.items():
-        need = {p for g in grams for p in parts_of(g)}
-        out.append(pd.DataFrame({"block": block["block"].iloc[0], "lang": lang, "gram": list(need)}))
-    empty = pd.DataFrame({"block": pd.Series(dtype="int64"), "lang": pd.Series(dtype=object), "gram": pd.Series(dtype=object)})
-    return pd.concat(out) if out else empty
+        need = list({p for g in grams for p in parts_of(g)})
+        out.append(pa.table([[block["block"][0].as_py()] * len(need), [lang] * len(need), need], schema=ASKED))
+    return pa.concat_tables(out) if out else ASKED.empty_table()
 
 
 def _scorer(trusted_only: bool):
-    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        block = block.drop_columns(["block"])
         if trusted_only:
-            block = block[block["trusted"]]
+            block = block.filter(block["trusted"])
         models: dict[str, dict] = {}
-        for lang, part in answers.groupby("lang"):
-            none = lambda s: s.astype(object).where(s.notna(), None)
-            models[lang] = dict(zip(part["gram"], zip(none(part["p"]), none(part["weight"]), strict=True), strict=True))
+        columns = [answers[c].to_pylist() for c in ("lang", "gram", "p", "weight")] if answers.num_rows else []
+        for lang, gram, p, weight in zip(*columns, strict=True):
+            models.setdefault(lang, {})[gram] = (p, weight)
         values: dict[str, dict[str, float]] = {}
-        n = np.zeros(len(block), np.int64)
-        log = np.full(len(block), np.nan)
-        for lang, rows, texts in by_language(list(block["lang"]), list(block["text"])):
+        n = np.zeros(block.num_rows, np.int64)
+        log = np.full(block.num_rows, np.nan)
+        for lang, rows, texts in by_language(block["lang"].to_pylist(), block["text"]):
             grams, index, runs = grams_of(texts)
             n[rows] = runs
             if lang in models:
                 known, model = values.setdefault(lang, {}), models[lang]
                 known.update((g, log_probability(g, model)) for g in grams.tolist() if g not in known)
                 value = np.array([known[g] for g in grams.tolist()])
-                sums = np.add.reduceat(value[index], np.cumsum(runs) - runs)
-                log[rows] = -sums / runs
-        block = block.assign(n_grams=n, log_perplexity=log).drop(columns="block")
-        block["log_perplexity"] = block["log_perplexity"].astype(object).where(block["log_perplexity"].notna(), None)
-        return block[["lang", "n_grams", "log_perplexity"]] if trusted_only else block
+                log[rows] = -np.add.reduceat(value[index], np.cumsum(runs) - runs) / runs
+        scored = block.select(["lang"]) if trusted_only else block
+        scored = scored.append_column("n_grams", pa.array(n))
+        return scored.append_column("log_perplexity", pa.array(log, from_pandas=True))
 
     return run
 
@@ -280,11 +287,11 @@ def judge(
     # Carried once: the text stays out of ``row`` on the way.
     others = [c for c in docs.columns if c != "text"]
     dealt = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("rest"), "lang", "text", "trusted", "block")
-    asked = dealt.groupBy("block").applyInPandas(_ask, "block long, lang string, gram string")
+    asked = dealt.groupBy("block").applyInArrow(_ask, "block long, lang string, gram string")
     answers = asked.join(model, ["lang", "gram"])
 
     def scored(trusted_only: bool, schema) -> DataFrame:
-        return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(trusted_only), schema)
+        return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(trusted_only), schema)
 
     own = scored(True, "lang string, n_grams long, log_perplexity double").where("log_perplexity is not null")
     room = F.lit(SCATTER) / F.sqrt("n_grams")
