@@ -325,8 +325,15 @@ def labelled(page: str, seed: int, variants: int = 2) -> list[list[Block]]:
 
 
 def fit(pages: DataFrame, column: str = "html", most: int = TRAINING_PAGES) -> Field:
-    """Trains on the ``most`` pages of the smallest hashes."""
-    rows = pages.where(F.length(column) > 0).select(column).orderBy(F.xxhash64(column)).limit(most).collect()
+    """Trains on the ``most`` different pages of the smallest hashes.
+
+    The hashes are ranked without the pages, so that no more than the chosen pages reach the driver.
+    """
+    hashed = pages.where(F.length(column) > 0).select(column, F.xxhash64(column).alias("_h"))
+    chosen = hashed.select("_h").distinct().orderBy("_h").limit(most).collect()
+    if not chosen:
+        return Field()
+    rows = hashed.where(F.col("_h") <= chosen[-1][0]).dropDuplicates(["_h"]).orderBy("_h").collect()
     return train([b for i, r in enumerate(rows) for b in labelled(r[0], i)])
 
 

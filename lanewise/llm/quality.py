@@ -7,6 +7,8 @@ answers. A document's perplexity is held against quantiles of the trusted docume
 in its language.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +32,8 @@ MARGIN = 0.05
 SCATTER = 2.0
 #: Bytes of text that are worked on at a time: the arrays over them are the memory a task needs.
 SLICE = 1 << 19
+#: Rows that go back to Spark at a time.
+OUT_ROWS = 1000
 #: Up to this many possible contexts, n-grams are counted in arrays, else by sorting.
 MOST_CELLS = 1 << 24
 
@@ -196,15 +200,15 @@ def parts_of(gram: str) -> list[str]:
     return [p for k in range(len(gram)) for p in (gram[k:], gram[k:-1])] + [""]
 
 
-def log_probability(gram: str, model: dict[str, tuple[float | None, float | None]]) -> float:
-    weight = 1.0
+def log_probability(gram: str, p: dict[str, float], weight: dict[str, float]) -> float:
+    """The longest tail with a probability, and the weights of the contexts left behind."""
+    held_back = 1.0
     for k in range(len(gram) + 1):
-        p, _ = model.get(gram[k:], (None, None))
-        if p is not None:
-            return float(np.log(weight * p))
-        w = model.get(gram[k:-1], (None, None))[1] if len(gram) - k > 1 else None
-        weight *= 1.0 if w is None else w
-    return float("nan")
+        if gram[k:] in p:
+            return math.log(held_back * p[gram[k:]])
+        if len(gram) - k > 1:
+            held_back *= weight.get(gram[k:-1], 1.0)
+    return math.nan
 
 
 # ---- scoring ------------------------------------------------------------------------------
@@ -225,15 +229,20 @@ def _ask(block: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else ASKED.empty_table()
 
 
+def _column_by_gram(answers: pa.Table, column: str) -> dict[str, float]:
+    known = answers.filter(pc.is_valid(answers[column]))
+    return dict(zip(known["gram"].to_pylist(), known[column].to_pylist(), strict=True))
+
+
 def _scorer(trusted_only: bool):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         block = block.drop_columns(["block"])
         if trusted_only:
             block = block.filter(block["trusted"])
-        models: dict[str, dict] = {}
-        columns = [answers[c].to_pylist() for c in ("lang", "gram", "p", "weight")] if answers.num_rows else []
-        for lang, gram, p, weight in zip(*columns, strict=True):
-            models.setdefault(lang, {})[gram] = (p, weight)
+        models: dict[str, tuple[dict, dict]] = {}
+        for lang in answers["lang"].unique().to_pylist() if answers.num_rows else []:
+            own = answers.filter(pc.equal(answers["lang"], lang))
+            models[lang] = tuple(_column_by_gram(own, c) for c in ("p", "weight"))
         values: dict[str, dict[str, float]] = {}
         n = np.zeros(block.num_rows, np.int64)
         log = np.full(block.num_rows, np.nan)
@@ -241,13 +250,14 @@ def _scorer(trusted_only: bool):
             grams, index, runs = grams_of(texts)
             n[rows] = runs
             if lang in models:
-                known, model = values.setdefault(lang, {}), models[lang]
-                known.update((g, log_probability(g, model)) for g in grams.tolist() if g not in known)
+                known = values.setdefault(lang, {})
+                known.update((g, log_probability(g, *models[lang])) for g in grams.tolist() if g not in known)
                 value = np.array([known[g] for g in grams.tolist()])
                 log[rows] = -np.add.reduceat(value[index], np.cumsum(runs) - runs) / runs
         scored = block.select(["lang"]) if trusted_only else block
         scored = scored.append_column("n_grams", pa.array(n))
-        return scored.append_column("log_perplexity", pa.array(log, from_pandas=True))
+        scored = scored.append_column("log_perplexity", pa.array(log, from_pandas=True))
+        return pa.Table.from_batches(scored.combine_chunks().to_batches(OUT_ROWS), scored.schema)
 
     return run
 
