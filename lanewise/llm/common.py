@@ -59,11 +59,20 @@ def pa_type(t: T.DataType) -> pa.DataType:
     return pa.list_(pa_type(t.elementType)) if isinstance(t, T.ArrayType) else simple[type(t)]
 
 
-def size_estimate(df: DataFrame) -> int:
-    """Bytes, as the optimizer estimates them (the file size for a plain scan). Reads no row."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: The optimizer's word for a size it does not know is larger than this.
+UNKNOWN = 1 << 60
 
 
-def blocks_for(df: DataFrame, block_bytes: int) -> int:
-    """How many blocks of about ``block_bytes`` the rows make; at least one per core."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size_estimate(df) // block_bytes))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes in a column, counted."""
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def blocks_for(df: DataFrame, column: str, block_bytes: int) -> int:
+    """How many blocks of about ``block_bytes`` the rows make; at least one per core.
+
+    By the optimizer's estimate (the file size for a plain scan), or counted where there is none.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = text_bytes(df, column) if size > UNKNOWN else size
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))

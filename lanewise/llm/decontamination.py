@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import annotate, size_estimate, words
+from lanewise.llm.common import annotate, text_bytes, words
 
 WINDOW = 13
 BLOCK = 3
@@ -71,7 +71,7 @@ def shares(benchmark: DataFrame, share_bytes: int) -> list:
     named = benchmark.where("item_id is not null and text is not null").select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")
     )
-    n = max(1, -(-size_estimate(named) // share_bytes))
+    n = max(1, -(-text_bytes(named, "text") // share_bytes))
     sc = benchmark.sparkSession.sparkContext
     own = [named.where(F.expr(f"pmod(xxhash64(item_id), {n}) = {k}")) if n > 1 else named for k in range(n)]
     return [sc.broadcast(pickle.dumps([tuple(r) for r in df.collect()])) for df in own]

@@ -292,7 +292,7 @@ def judge(
     marked = trust(docs.select(F.struct(*columns).alias("row"), "doc_id", lang.alias("lang"), "text"), labels)
     model = train(marked.where("trusted"))
 
-    blocks = blocks_for(docs, block_bytes)
+    blocks = blocks_for(docs, "text", block_bytes)
     dealt = marked.select("row", "lang", "text", "trusted", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     # Carried once: the text stays out of ``row`` on the way.
     others = [c for c in docs.columns if c != "text"]
@@ -304,7 +304,7 @@ def judge(
         return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(trusted_only), schema)
 
     own = scored(True, "lang string, n_grams long, log_perplexity double").where("log_perplexity is not null")
-    room = F.lit(SCATTER) / F.sqrt("n_grams")
+    room = F.lit(SCATTER) / F.sqrt(F.greatest("n_grams", F.lit(1)))
     bounds = F.array(F.col("log_perplexity") + room, F.col("log_perplexity") - room)
     counted = (
         own.select("lang", F.posexplode(bounds).alias("side", "value"))
