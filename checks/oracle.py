@@ -465,7 +465,7 @@ SQL = {
     "alert_cooldown": sql("select video_id, alert_type, id_lo, id_hi, frame_id, track_id from fired", "fired"),
     "alert_history": sql(
         """select video_id, alert_type, id_lo, id_hi, frame_id, severity from fired
-        order by ts desc, video_id desc, alert_type desc, id_lo desc, id_hi desc limit 150""", "fired"),
+        order by ts desc, video_id desc, alert_type desc, id_lo desc, id_hi desc limit 500""", "fired"),
     "alert_effectiveness": sql(
         """select alert_type, fired, n - fired as suppressed, round((n - fired)::DOUBLE / n::DOUBLE, 3) as effectiveness
         from (select alert_type, count(*) as n from cand group by 1) join (select alert_type, count(*) as fired from fired group by 1) using (alert_type)""", "cand", "fired"),
@@ -487,12 +487,12 @@ SQL = {
         left join (select video_id, zone_id, en.gate as name, count(*) as n from journey where en is not null group by all) e using (video_id, zone_id, name)
         left join (select video_id, zone_id, ex.gate as name, count(*) as n from journey where ex is not null group by all) x using (video_id, zone_id, name)""", "gate", "journey"),
     "od_pairs": sql(
-        """select video_id, track_id, origin_gate, dest_gate, entry_time, exit_time, entry_confidence, exit_confidence, round(exit_time - entry_time, 2) as dwell_s,
+        """select video_id, zone_id, track_id, origin_gate, dest_gate, entry_time, exit_time, entry_confidence, exit_confidence, round(exit_time - entry_time, 2) as dwell_s,
         case when entry_confidence = 'confirmed' and exit_confidence = 'confirmed' then 'confirmed' else 'estimated' end as od_confidence from
-        (select video_id, track_id, gate_name as origin_gate, confidence as entry_confidence, min(ts) as entry_time from crossing where direction = 'enter' group by all)
-        join (select video_id, track_id, gate_name as dest_gate, confidence as exit_confidence, max(ts) as exit_time from crossing where direction = 'exit' group by all) using (video_id, track_id)""", "crossing"),
+        (select video_id, zone_id, track_id, gate_name as origin_gate, confidence as entry_confidence, min(ts) as entry_time from crossing where direction = 'enter' group by all)
+        join (select video_id, zone_id, track_id, gate_name as dest_gate, confidence as exit_confidence, max(ts) as exit_time from crossing where direction = 'exit' group by all) using (video_id, zone_id, track_id)""", "crossing"),
     "od_summary": sql("select * from od", "od"),
-    "od_matrix": sql("select zone_id, origin_gate, dest_gate, count(*) as vehicles from od group by all", "od"),
+    "od_matrix": sql("select video_id, zone_id, origin_gate, dest_gate, count(*) as vehicles from od group by all", "od"),
     "zone_volume": sql("select video_id, zone_id, count(*) filter (direction = 'enter') as volume from crossing group by all", "crossing"),
     "occupancy": sql(
         "select video_id, zone_id, count(*) filter (inside) as occupancy from (select video_id, zone_id, track_id, arg_max(inside, frame_id) as inside from sight where ts <= 30 group by all) group by all", "sight"),
@@ -605,7 +605,7 @@ SQL = {
         union all select video_id, unnest(case when id_lo = id_hi then [id_lo] else [id_lo, id_hi] end), ts, 'alert', alert_type from fired
         union all select video_id, track_id, ts, 'crossing', gate_name || ' ' || direction from crossing""", "run", "ends", "fired", "crossing"),
     "early_entries": sql(
-        "select zone_id, gate_name, count(*) as entries, count(distinct track_id) as vehicles from crossing where ts between 0 and 30 and direction = 'enter' group by all", "crossing"),
+        "select video_id, zone_id, gate_name, count(*) as entries, count(distinct track_id) as vehicles from crossing where ts between 0 and 30 and direction = 'enter' group by all", "crossing"),
 }
 
 _ERRORS = """with p as (select 'cam' || l_suppkey as video_id, l_orderkey, l_linenumber, l_partkey, l_quantity * 25::DOUBLE as pixel_x, (l_partkey % 720)::DOUBLE as pixel_y,

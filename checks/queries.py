@@ -426,7 +426,7 @@ def alert_cooldown(spark, sf):
 
 @query
 def alert_history(spark, sf):
-    return al.alert_history(fired_alerts(spark, sf), 150).select(
+    return al.alert_history(fired_alerts(spark, sf), 500).select(
         "video_id", "alert_type", "id_lo", "id_hi", "frame_id", "severity"
     )
 
@@ -488,7 +488,7 @@ OD_COLS = ["origin_gate", "dest_gate", "entry_time", "exit_time", "entry_confide
 
 @query
 def od_pairs(spark, sf):
-    return zo.od_pairs(gate_events(spark, sf)).select("video_id", "track_id", *OD_COLS)
+    return zo.od_pairs(gate_events(spark, sf)).select("video_id", "zone_id", "track_id", *OD_COLS)
 
 
 @query

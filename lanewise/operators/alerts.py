@@ -11,7 +11,7 @@ from lanewise.plans.chunks import CHUNK, with_halo
 from lanewise.plans.staging import staged
 from lanewise.schemas import (
     AGGRESSIVE_ACCEL_MS2,
-    ALERT_RING,
+    HISTORY_ALERTS,
     COLLISION_M,
     COOLDOWN_S,
     HARD_BRAKING_MS2,
@@ -220,8 +220,7 @@ def cooldown(
     walked in order, one entity after the other, in constant memory.
     """
     reach = ceil(seconds * fps) + 1
-    if reach > chunk_frames:
-        raise ValueError("a chunk must be longer than the cool-down")
+    chunk_frames = max(chunk_frames, reach)
     candidates = staged(candidates)
     rest = [c for c in candidates.columns if c not in ENTITY]
     silence = f"{float(seconds)}D"
@@ -296,11 +295,10 @@ def alerts(trajectories: DataFrame, fps: int = 30, seconds: float = COOLDOWN_S,
     return describe(cooldown(alert_candidates(trajectories), seconds, fps, chunk_frames))
 
 
-def alert_history(fired: DataFrame, limit: int = ALERT_RING, ring: int = ALERT_RING) -> DataFrame:
-    """The newest ``limit`` (1 to 500) of the last ``ring`` alerts, oldest first."""
+def alert_history(fired: DataFrame, limit: int = HISTORY_ALERTS) -> DataFrame:
+    """The newest ``limit`` alerts, at least one, oldest first."""
     order = ["ts", "video_id", "alert_type", "id_lo", "id_hi"]
-    kept = max(1, min(limit, 500, ring))
-    return fired.orderBy(*[F.col(c).desc() for c in order]).limit(kept).orderBy(*order)
+    return fired.orderBy(*[F.col(c).desc() for c in order]).limit(max(1, limit)).orderBy(*order)
 
 
 def alert_effectiveness(candidates: DataFrame, fired: DataFrame) -> DataFrame:

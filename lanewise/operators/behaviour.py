@@ -14,7 +14,6 @@ from lanewise.schemas import (
     HISTORY_S,
     MIN_SEGMENT_S,
     MOTION_SKIP,
-    STABLE_SCAN,
     STABLE_THRESHOLD,
     STABLE_WINDOW,
 )
@@ -204,11 +203,12 @@ def stable_start(
     scores: DataFrame,
     threshold: float = STABLE_THRESHOLD,
     window: int = STABLE_WINDOW,
-    scan: int = STABLE_SCAN,
+    scan: int | None = None,
     chunk_frames: int = CHUNK,
 ) -> DataFrame:
-    """First frame of the first ``window`` calm scores in a row within the first ``scan`` frames, else 0."""
-    scanned = scores.where((F.col("frame_idx") < scan)).withColumn("calm", F.col("score") < threshold)
+    """First frame of the first ``window`` calm scores in a row, else 0; ``scan`` limits the frames looked at."""
+    within = scores if scan is None else scores.where(F.col("frame_idx") < scan)
+    scanned = within.withColumn("calm", F.col("score") < threshold)
     numbered = ordinal(scanned, ["video_id"], "frame_idx", "n", chunk_frames)
     here = Window.partitionBy("video_id", "chunk").orderBy("n")
     ahead = with_halo(numbered, "n", ahead=window - 1, size=chunk_frames)

@@ -13,10 +13,16 @@ def rate(part: Column, whole: Column, digits: int = 3) -> Column:
 
 
 def percentile_floor(observations: DataFrame, keys: list[str], value: str, pcts: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """``p50, p95, ...`` per group: the value at 0-based index ``max(0, floor(n * p / 100) - 1)``, 2 digits."""
+    """``p50, p95, ...`` per group: the value at 0-based index ``max(0, floor(n * p / 100) - 1)``, 2 digits.
+
+    Without ``keys`` there is one row in any case, of 0.0 where there are no values.
+    """
     ranks = rank_values(observations, keys, value, pcts)
     return ranks.groupBy(*keys).agg(
-        *[F.round(F.max(F.when(F.col("pct") == p, F.col("value"))), 2).alias(f"p{p}") for p in pcts]
+        *[
+            F.coalesce(F.round(F.max(F.when(F.col("pct") == p, F.col("value"))), 2), F.lit(0.0)).alias(f"p{p}")
+            for p in pcts
+        ]
     )
 
 
@@ -66,8 +72,8 @@ def alert_metrics(candidates: DataFrame, fired: DataFrame) -> DataFrame:
     per_type = alert_effectiveness(candidates, fired)
     entry = F.struct("alert_type", "fired")
     return per_type.agg(
-        F.sum("fired").alias("alerts_total"),
-        F.sum("suppressed").alias("suppressed"),
+        F.coalesce(F.sum("fired"), F.lit(0)).alias("alerts_total"),
+        F.coalesce(F.sum("suppressed"), F.lit(0)).alias("suppressed"),
         rate(F.sum("suppressed"), F.sum("fired") + F.sum("suppressed")).alias("effectiveness"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("distribution"),
     )
@@ -91,7 +97,7 @@ def agent_metrics(queries: DataFrame) -> DataFrame:
     empty = F.length(F.trim(F.coalesce("answer", F.lit("")))) < 10
     sums = queries.agg(
         F.count("*").alias("queries"),
-        F.sum(F.size("tools")).alias("tool_calls"),
+        F.coalesce(F.sum(F.size("tools")), F.lit(0)).alias("tool_calls"),
         F.count_if(empty).alias("empty_answers"),
     )
     p = percentile_floor(queries, [], "latency_ms").withColumnsRenamed({"p50": "latency_p50", "p95": "latency_p95"})
@@ -131,7 +137,7 @@ def metrics_report(
     entry = F.struct("op", F.struct("calls", "rows_written", "p50", "p95", "avg_similarity").alias("m"))
     stores = store_metrics(operations).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("stores"))
     latency = percentile_floor(calls, [], "latency_ms").withColumnsRenamed({"p50": "model_p50", "p95": "model_p95"})
-    gating = ticks.agg(F.sum("motion_skips").alias("motion_skips"), F.sum("forced_ticks").alias("forced_ticks"))
+    gating = ticks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("motion_skips", "forced_ticks")])
     report = throughput(boxes, elapsed_s)
     for part in (
         model_quality(calls),

@@ -147,6 +147,6 @@ def early_entries(events: DataFrame, until: float = 30.0) -> DataFrame:
     return (
         in_period(events, 0.0, until)
         .where("direction = 'enter'")
-        .groupBy("zone_id", "gate_name")
+        .groupBy("video_id", "zone_id", "gate_name")
         .agg(F.count("*").alias("entries"), F.count_distinct("track_id").alias("vehicles"))
     )

@@ -188,8 +188,8 @@ def gate_vehicle_counts(events: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def od_pairs(events: DataFrame) -> DataFrame:
-    """Every entry gate of a vehicle with every exit gate, each by confidence."""
-    keys = ["video_id", "track_id"]
+    """Every entry gate of a vehicle with every exit gate of the same zone, each by confidence."""
+    keys = ["video_id", "zone_id", "track_id"]
     enters = (
         events.where("direction = 'enter'")
         .groupBy(*keys, F.col("gate_name").alias("origin_gate"), F.col("confidence").alias("entry_confidence"))
@@ -230,8 +230,8 @@ def _with_confidence(od: DataFrame) -> DataFrame:
 
 
 def od_matrix(summary: DataFrame) -> DataFrame:
-    """Vehicles per origin and destination gate, long form."""
-    return summary.groupBy("zone_id", "origin_gate", "dest_gate").agg(F.count("*").alias("vehicles"))
+    """Vehicles per zone, origin and destination gate, long form."""
+    return summary.groupBy("video_id", "zone_id", "origin_gate", "dest_gate").agg(F.count("*").alias("vehicles"))
 
 
 def zone_volume(events: DataFrame) -> DataFrame:

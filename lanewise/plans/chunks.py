@@ -28,10 +28,9 @@ def with_halo(
     """Adds ``chunk`` and ``owned``; rows near a chunk edge also appear, not owned, next door.
 
     ``back`` is how far (in ``order`` units) a row may look to smaller values, ``ahead``
-    to larger ones. Keep the ``owned`` rows after the window.
+    to larger ones. Keep the ``owned`` rows after the window. Chunks are never shorter than that.
     """
-    if max(back, ahead) > size:
-        raise ValueError(f"halo of {max(back, ahead)} does not fit chunks of {size}")
+    size = max(size, back, ahead)
     own = f"floor({order} / {size})"
     offset = f"({order} - {own} * {size})"
     low = f"case when {offset} < {ahead} then {own} - 1 else {own} end"

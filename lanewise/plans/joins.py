@@ -43,18 +43,25 @@ def interval_join(
     end: str,
     ts: str = "ts",
     bucket: float = 10.0,
-    max_buckets: int = 64,
+    coarse: int = 64,
 ) -> DataFrame:
     """Rows with each span of their key that contains ``ts``, both ends included.
 
     Both sides meet in time buckets, so a key with many rows and many spans is not multiplied out.
-    Spans over more than ``max_buckets`` buckets, which contain most rows anyway, meet on the key.
+    Spans over more than ``coarse`` buckets use buckets ``coarse`` times as long. Each span has one of
+    the two lengths and each row stands in a bucket of both, so rows are read and joined once.
     """
-    wide = f"floor({end} / {bucket}) - floor({start} / {bucket}) >= {max_buckets}"
-    within = F.col(ts).between(F.col(start), F.col(end))
-    sliced = spans.where(f"not ({wide}) and {start} <= {end}").withColumn(
-        "_bucket", F.expr(f"explode_outer(sequence(floor({start} / {bucket}), floor({end} / {bucket})))")
+    first, last, at = (f"floor({c} / {bucket})" for c in (start, end, ts))
+    wide = f"{last} - {first} >= {coarse}"
+    step = f"if({wide}, {coarse}, 1)"
+    sliced = spans.where(f"{start} <= {end}").withColumns(
+        {
+            "_wide": F.expr(wide),
+            "_bucket": F.expr(f"explode_outer(sequence(floor({first} / {step}), floor({last} / {step})))"),
+        }
+    )
+    both = f"inline(array(struct(false as _wide, {at} as _bucket), struct(true as _wide, floor({at} / {coarse}) as _bucket)))"
+    placed = rows.select("*", F.expr(both))
+    return placed.join(sliced, [*keys, "_wide", "_bucket"]).where(F.col(ts).between(F.col(start), F.col(end))).drop(
+        "_wide", "_bucket"
     )
-    short = rows.withColumn("_bucket", F.expr(f"floor({ts} / {bucket})")).join(sliced, [*keys, "_bucket"])
-    long = rows.join(spans.where(wide), keys)
-    return short.where(within).drop("_bucket").unionByName(long.where(within))

@@ -3,7 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.plans.joins import beside, lookup_join
+
 ACCURACY = 10_000
+#: Parts of a bracket that are counted before values are.
+CELLS = 1000
 
 
 def rank_values(df: DataFrame, keys: list[str], value: str, pcts: tuple[int, ...]) -> DataFrame:
@@ -15,9 +19,6 @@ def rank_values(df: DataFrame, keys: list[str], value: str, pcts: tuple[int, ...
     """
     slack = 3.0 / ACCURACY
     bounds = sorted({b for p in pcts for b in (max(0.0, p / 100 - slack), min(1.0, p / 100 + slack))})
-    if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return rank_values(whole, ["_all"], value, pcts).drop("_all")
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     sketch = values.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -37,19 +38,33 @@ def rank_values(df: DataFrame, keys: list[str], value: str, pcts: tuple[int, ...
             for p in pcts
         ]
     )
-    targets = sketch.select(*keys, F.explode(wanted).alias("t")).select(*keys, "t.*")
-    joined = values.join(targets, keys)
+    # The brackets go to the values: a row per group, however many values it has.
+    brackets = sketch.select(*keys, wanted.alias("wanted"))
+    met = lookup_join(values, brackets, keys, "inner") if keys else beside(values, brackets)
+    joined = met.select(*keys, "v", F.explode(F.filter("wanted", lambda t: F.col("v") <= t["hi"])).alias("t")).select(
+        *keys, "v", "t.*"
+    )
     # Everything under a bracket folds into one count, everything above it is dropped.
-    counted = (
-        joined.where(F.col("v") <= F.col("hi"))
-        .groupBy(*keys, "pct", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.count("*").alias("c"))
+    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    width = F.col("hi") - F.col("lo")
+    cell = F.when(width > 0, F.floor((inside - F.col("lo")) / width * CELLS)).otherwise(0)
+    counted = joined.groupBy(
+        *keys, "pct", "rank", inside.alias("v"), F.when(inside.isNotNull(), cell).otherwise(-1).cast("long").alias("cell")
+    ).agg(F.count("*").alias("c"))
+    # First the cell that holds the rank, by running counts of cells; then the value, within that cell.
+    before = Window.partitionBy(*keys, "pct").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.groupBy(*keys, "pct", "rank", "cell").agg(F.sum("c").alias("n"))
+    chosen = (
+        cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .where((F.col("before") < F.col("rank")) & (F.col("before") + F.col("n") >= F.col("rank")))
+        .select(*keys, "pct", "cell", "before")
     )
     upto = F.sum("c").over(
         Window.partitionBy(*keys, "pct").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        counted.withColumn("upto", upto)
+        lookup_join(counted, chosen, [*keys, "pct", "cell"], "inner")
+        .withColumn("upto", F.col("before") + upto)
         .where(F.col("upto") >= F.col("rank"))
         .groupBy(*keys, "pct")
         .agg(F.min("v").alias("value"))

@@ -21,11 +21,10 @@ FIRST_FRAME_MOTION = 999.0
 CLIP_FRAMES = 6
 STABLE_THRESHOLD = 8.0
 STABLE_WINDOW = 10
-STABLE_SCAN = 500
 MAX_MISSED = 5
 SG_WINDOW = 15
 SG_ORDER = 3
-ALERT_RING = 200
+HISTORY_ALERTS = 200
 METRES_PER_DEGREE = 111320.0
 ENTITY_TYPES = ("Vehicle", "Pedestrian", "Infrastructure")
 MOTION_STATES = ("APPROACHING", "DIVERGING", "PARALLEL", "STATIONARY")
