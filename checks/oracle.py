@@ -608,6 +608,8 @@ SQL = {
         "select video_id, zone_id, gate_name, count(*) as entries, count(distinct track_id) as vehicles from crossing where ts between 0 and 30 and direction = 'enter' group by all", "crossing"),
 }
 
+SQL["text_vectors"] = r"""with w as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'))::bigint as n_words from documents)
+select doc_id, n_words, (n_words > 0)::int::double as norm from w"""
 _ERRORS = """with p as (select 'cam' || l_suppkey as video_id, l_orderkey, l_linenumber, l_partkey, l_quantity * 25::DOUBLE as pixel_x, (l_partkey % 720)::DOUBLE as pixel_y,
   l_quantity * 1.25::DOUBLE - 5::DOUBLE + l_tax as world_x, (l_partkey % 720) / 20::DOUBLE - 2::DOUBLE + l_discount as world_y, l_suppkey from lineitem),
 q as (select *, 1e-5::DOUBLE * (l_suppkey % 4) as h7, 1e-3::DOUBLE * (l_suppkey % 3) as h1 from p),

@@ -4,6 +4,7 @@ Chunks are kept far shorter than the default, so that the chunk borders of every
 operator are checked too.
 """
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -774,9 +775,9 @@ def approx_search(spark, sf):
 @query
 def text_vectors(spark, sf):
     docs = ad.table(spark, sf, "documents").select("doc_id", "text")
-    return ve.text_vectors(docs).select("doc_id", "features").select(
-        "doc_id", F.size(F.split(F.col("features").cast("string"), ",")).alias("parts")
-    )
+    vectors = ve.text_vectors(docs).select("doc_id", "n_words", vector_to_array("features").alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return vectors.select("doc_id", "n_words", F.round(norm, 6).alias("norm"))
 
 
 # ---- metrics ------------------------------------------------------------------------------

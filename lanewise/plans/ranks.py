@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.plans.joins import beside, lookup_join
+from lanewise.plans.staging import staged
 
 ACCURACY = 10_000
 #: Parts of a bracket that are counted before values are.
@@ -38,8 +39,9 @@ def rank_values(df: DataFrame, keys: list[str], value: str, pcts: tuple[int, ...
             for p in pcts
         ]
     )
-    # The brackets go to the values: a row per group, however many values it has.
-    brackets = sketch.select(*keys, wanted.alias("wanted"))
+    # The brackets go to the values: a row per group, however many values it has. Written once, they
+    # can be counted without working out the sketches again.
+    brackets = staged(sketch.select(*keys, wanted.alias("wanted")))
     met = lookup_join(values, brackets, keys, "inner") if keys else beside(values, brackets)
     joined = met.select(*keys, "v", F.explode(F.filter("wanted", lambda t: F.col("v") <= t["hi"])).alias("t")).select(
         *keys, "v", "t.*"
@@ -63,7 +65,7 @@ def rank_values(df: DataFrame, keys: list[str], value: str, pcts: tuple[int, ...
         Window.partitionBy(*keys, "pct").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        lookup_join(counted, chosen, [*keys, "pct", "cell"], "inner")
+        counted.join(chosen, [*keys, "pct", "cell"])
         .withColumn("upto", F.col("before") + upto)
         .where(F.col("upto") >= F.col("rank"))
         .groupBy(*keys, "pct")

@@ -128,6 +128,10 @@ def test_history_and_effectiveness(spark):
     cand = spark.createDataFrame(rows, CAND)
     fired = al.cooldown(cand, 3.0, fps=10)
     assert [r.ts for r in al.alert_history(fired, 2).collect()] == [6.0, 9.0]
+    many = al.cooldown(spark.createDataFrame([("v", "SPEEDING", 1, 1, 1, t, t / 1.0, 0.0) for t in range(700)], CAND), 0.5, fps=1)
+    assert al.alert_history(many, 600).count() == 600
+    # A cool-down longer than a chunk.
+    assert al.cooldown(cand, 3.0, fps=10, chunk_frames=4).count() == 4
     r = al.alert_effectiveness(cand, fired).first()
     assert (r.fired, r.suppressed, r.effectiveness) == (4, 96, 0.96)
 

@@ -143,6 +143,9 @@ def test_stable_start_and_clips(spark):
     both = spark.createDataFrame([("a", *s) for s in score] + [("b", *s) for s in score[:-1]], "video_id string, frame_idx bigint, score double")
     for size in (9, 8192):
         assert {r.video_id: r.stable_frame for r in be.stable_start(both, chunk_frames=size).collect()} == {"a": 5, "b": 0}
+    late = spark.range(700).selectExpr("'v' as video_id", "id as frame_idx", "if(id < 650, 9.0D, 1.0D) as score")
+    assert be.stable_start(late, chunk_frames=64).first().stable_frame == 650
+    assert be.stable_start(late, scan=500, chunk_frames=64).first().stable_frame == 0
     ticks = spark.createDataFrame([("v", 3 * i) for i in range(20)], "video_id string, frame_id bigint")
     for size in (6, 8192):
         clips = {r.frame_id: r.clip for r in be.clip_buffer(ticks, chunk_frames=size).collect()}
@@ -177,6 +180,10 @@ def test_search_and_intent(spark):
     assert {r.id: r.intent for r in ve.classify_intent(ask, protos).collect()} == {
         1: "full_analysis", 2: "semantic_lookup", 3: "full_analysis",
     }
+    far = spark.range(2500).selectExpr("'full_analysis' as intent", "array(-1.0D, -1.0D - id) as embedding")
+    assert ve.classify_intent(ask, protos.unionByName(far)).where("id = 2 and intent = 'semantic_lookup'").count() == 1
+    words = ve.text_vectors(spark.createDataFrame([(1, "véhicule arrêté"), (2, "Привет, мир"), (3, None)], "id int, text string"))
+    assert [r.n_words for r in words.orderBy("id").collect()] == [2, 2, 0]
 
 
 def test_percentiles(spark):
@@ -191,6 +198,10 @@ def test_percentiles(spark):
         round(values[max(0, int(60_000 * p / 100) - 1)], 2) for p in (1, 50, 95, 100)
     ]
     assert ranks.rank_values(big.limit(0), [], "ms", (50,)).count() == 0
+    none = me.percentile_floor(big.limit(0), [], "ms").first()
+    assert (none.p50, none.p95) == (0.0, 0.0)
+    plan = me.percentile_floor(big, [], "ms")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
 
 
 def test_model_and_store_metrics(spark):
@@ -201,6 +212,8 @@ def test_model_and_store_metrics(spark):
     none = me.model_quality(calls.limit(0)).first()
     assert (none.calls, none.parse_rate) == (0, 0.0)
     asked = spark.createDataFrame([(10.0, ["a", "b"], "a long answer", "x"), (20.0, [], "short", "x")], "latency_ms double, tools array<string>, answer string, route string")
+    empty = me.agent_metrics(asked.limit(0)).first()
+    assert (empty.queries, empty.tool_calls, empty.latency_p50, empty.tools_per_query) == (0, 0, 0.0, 0.0)
     a = me.agent_metrics(asked).first()
     assert (a.queries, a.tools_per_query, a.empty_answers, a.empty_rate, a.latency_p50) == (2, 1.0, 1, 0.5, 10.0)
 
