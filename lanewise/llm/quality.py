@@ -31,11 +31,11 @@ MARGIN = 0.05
 #: The mean over n n-grams scatters as 1 / sqrt(n): short texts get so much more room.
 SCATTER = 2.0
 #: Bytes of text that are worked on at a time: the arrays over them are the memory a task needs.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Rows that go back to Spark at a time.
 OUT_ROWS = 1000
 #: Up to this many possible contexts, n-grams are counted in arrays, else by sorting.
-MOST_CELLS = 1 << 24
+MOST_CELLS = 1 << 22
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +86,10 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cells = int(key.max(initial=-1)) + 1
     if cells > MOST_CELLS:
         return np.unique(key, return_index=True, return_inverse=True)
-    place = np.full(cells, -1, np.int64)
+    place = np.full(cells, -1, np.int32)
     place[key] = np.arange(len(key))
     seen = np.flatnonzero(place >= 0)
-    number = np.zeros(cells, np.int64)
+    number = np.zeros(cells, np.int32)
     number[seen] = np.arange(len(seen))
     return seen, place[seen], number[key]
 
