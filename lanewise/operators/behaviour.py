@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.motion import behaviour_state, window_start, with_motion
-from lanewise.plans.chunks import CHUNK, following, ordinal, previous, with_halo
+from lanewise.plans.chunks import CHUNK, following, ordinal, previous, with_chunk, with_halo
 from lanewise.plans.staging import staged
 from lanewise.schemas import (
     CLIP_FRAMES,
@@ -28,15 +28,24 @@ def with_state(trajectories: DataFrame) -> DataFrame:
 def behaviour_runs(trajectories: DataFrame, chunk_frames: int = CHUNK) -> DataFrame:
     """Stretches of equal state over a whole track; each ends where the next begins, the last at its last row.
 
-    States are staged, because runs need them three times.
+    One pass within chunks keeps the rows where a state begins and each chunk's first; only these are
+    staged and looked at across chunks.
     """
-    rows = staged(with_state(trajectories).select(*TRACK, "frame_id", "ts", "state"))
+    states = with_chunk(with_state(trajectories).select(*TRACK, "frame_id", "ts", "state"), "frame_id", chunk_frames)
+    chunk = Window.partitionBy(*TRACK, "chunk")
+    rows = staged(
+        states.withColumns(
+            {"before": F.lag(F.struct("state")).over(chunk.orderBy("frame_id")), "last_ts": F.max("ts").over(chunk)}
+        )
+        .where("before is null or not before.state <=> state")
+        .drop("before", "chunk")
+    )
     starts = previous(rows, TRACK, "frame_id", ["state"], chunk_frames).where("not state <=> prev_state")
-    last = rows.groupBy(*TRACK).agg(F.max("ts").alias("last_ts"))
+    last = rows.groupBy(*TRACK).agg(F.max("last_ts").alias("_end"))
     return (
         following(starts, TRACK, "frame_id", ["ts"], chunk_frames)
         .join(last, TRACK)
-        .select(*TRACK, "state", F.col("ts").alias("start_ts"), F.coalesce("next_ts", "last_ts").alias("end_ts"))
+        .select(*TRACK, "state", F.col("ts").alias("start_ts"), F.coalesce("next_ts", "_end").alias("end_ts"))
     )
 
 
@@ -49,8 +58,8 @@ def lookback(
 ) -> DataFrame:
     """``history`` of each active (video, track, frame, ts): its trajectory rows of the last ``seconds``.
 
-    Active rows travel with the trajectory as markers, so the range join is one sliding window
-    of bounded length and no row is copied per tick.
+    Active rows travel with the trajectory as markers into short stretches of a track, which hold
+    the samples once, in order, for all their ticks. A stretch is as long as a few histories.
     """
     reach = ceil(seconds * fps) + 1
     sample = F.struct("ts", "state", "speed", "signed_accel")
@@ -58,16 +67,19 @@ def lookback(
         *TRACK, "frame_id", "ts", sample.alias("sample"), F.lit(False).alias("is_tick")
     )
     ticks = active.select(*TRACK, "frame_id", "ts", F.lit(None).alias("sample"), F.lit(True).alias("is_tick"))
-    both = with_halo(rows.unionByName(ticks), "frame_id", back=reach, size=chunk_frames)
-    span = Window.partitionBy(*TRACK, "chunk").orderBy("frame_id").rangeBetween(-reach, 0)
+    both = with_halo(rows.unionByName(ticks), "frame_id", back=reach, size=min(chunk_frames, 2 * reach))
+    tick = F.when(
+        F.col("is_tick") & F.col("owned"), F.struct("frame_id", "ts", window_start("ts", seconds).alias("since"))
+    )
+    near = "filter(samples, s -> s.ts between t.since and t.ts)"
+    looked_back = f"transform(ticks, t -> named_struct('frame_id', t.frame_id, 'ts', t.ts, 'history', {near}))"
     return (
-        both.withColumn("near", F.collect_list("sample").over(span))
-        .where("is_tick and owned")
-        .withColumn("since", window_start("ts", seconds))
-        .select(
-            *TRACK, "frame_id", "ts",
-            F.expr("array_sort(filter(near, s -> s.ts between since and ts)) as history"),
-        )
+        both.groupBy(*TRACK, "chunk")
+        .agg(F.collect_list("sample").alias("samples"), F.collect_list(tick).alias("ticks"))
+        .where("size(ticks) > 0")
+        .select(*TRACK, "ticks", F.array_sort("samples").alias("samples"))
+        .select(*TRACK, F.expr(f"explode_outer({looked_back}) as t"))
+        .select(*TRACK, "t.*")
     )
 
 

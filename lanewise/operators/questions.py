@@ -36,20 +36,21 @@ def interaction_speed(
 ) -> DataFrame:
     """Speed of each vehicle at its interactions with ``partner_type``: its latest row up to the edge.
 
-    The speeds are staged, as the as-of join reads them more than once.
+    Only tracks that met a partner are looked at. Edges and speeds are staged, as they are read more than once.
     """
     seen = F.array(
         F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("kind"), F.col("object_type").alias("other")),
         F.struct(F.col("object").alias("name"), F.col("object_type").alias("kind"), F.col("subject_type").alias("other")),
     )
     wanted = F.filter(seen, lambda e: (e["kind"] == "Vehicle") & (e["other"] == partner_type))
-    vehicles = (
+    vehicles = staged(
         edges.select("video_id", "frame_id", "predicate", F.explode(wanted).alias("e"))
         .withColumn("track_id", vehicle_number(F.col("e.name")))
         .where("track_id is not null")
         .select(*TRACK, "frame_id", "predicate")
     )
-    rows = staged(with_motion(trajectories).select(*TRACK, "frame_id", "speed"))
+    met = lookup_join(trajectories, vehicles.select(*TRACK).distinct(), TRACK, "left_semi")
+    rows = staged(with_motion(met).select(*TRACK, "frame_id", "speed"))
     return asof(vehicles, rows, TRACK, "frame_id", ["speed"], chunk_frames)
 
 

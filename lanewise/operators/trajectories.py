@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions.geometry import project
 from lanewise.functions.motion import bottom_centre
-from lanewise.plans.chunks import CHUNK, previous, running_sum, with_halo
+from lanewise.plans.chunks import CHUNK, with_chunk, with_halo
 from lanewise.plans.joins import interval_join, lookup_join
 from lanewise.schemas import CROWDED_TRACKS, DETECTION_CONF, MAX_MISSED, SG_ORDER, SG_WINDOW
 
@@ -69,11 +69,29 @@ def savgol_weights(window: int, order: int, deriv: int) -> tuple[list[int], int]
 
 
 def track_segments(positions: DataFrame, max_missed: int = MAX_MISSED, chunk_frames: int = CHUNK) -> DataFrame:
-    """Adds ``gap`` (missed frames before the row) and ``segment``, which a longer gap restarts."""
-    with_prev = previous(positions, TRACK, "frame_id", ["frame_id"], chunk_frames)
-    gaps = with_prev.withColumn("gap", F.expr("frame_id - prev_frame_id - 1")).drop("prev_frame_id")
-    starts = gaps.withColumn("_start", F.expr(f"case when gap <= {max_missed} then 0 else 1 end"))
-    return running_sum(starts, TRACK, ["frame_id"], "_start", "segment", chunk_frames).drop("_start")
+    """Adds ``gap`` (missed frames before the row) and ``segment``, which a longer gap restarts.
+
+    One window within chunks; gaps across chunks and the segments before come from a row per chunk.
+    """
+    here = "over (partition by video_id, track_id, chunk order by frame_id)"
+    along = "over (partition by video_id, track_id order by chunk)"
+    within = (
+        with_chunk(positions, "frame_id", chunk_frames)
+        .withColumn("_gap", F.expr(f"frame_id - lag(frame_id) {here} - 1"))
+        .withColumn("_inner", F.expr(f"sum(if(_gap > {max_missed}, 1, 0)) {here}"))
+    )
+    edges = within.groupBy(*TRACK, "chunk").agg(
+        F.min("frame_id").alias("_first"), F.max("frame_id").alias("_last"), F.max("_inner").alias("_starts")
+    )
+    carried = (
+        edges.withColumn("_edge_gap", F.expr(f"_first - lag(_last) {along} - 1"))
+        .withColumn("_opens", F.expr(f"if(_edge_gap <= {max_missed}, 0, 1)"))
+        .withColumn("_base", F.expr(f"sum(_opens + _starts) {along} - _starts"))
+        .select(*TRACK, "chunk", "_edge_gap", "_base")
+    )
+    return within.join(carried, [*TRACK, "chunk"]).select(
+        *positions.columns, F.coalesce("_gap", "_edge_gap").alias("gap"), (F.col("_base") + F.col("_inner")).alias("segment")
+    )
 
 
 def _filled(positions: DataFrame, history: int, max_missed: int, chunk_frames: int) -> DataFrame:

@@ -253,9 +253,9 @@ def occupancy(boxes: DataFrame, zones: DataFrame, at: float | None = None) -> Da
 
 
 def occupancy_series(boxes: DataFrame, zones: DataFrame, chunk_frames: int = CHUNK) -> DataFrame:
-    """Occupancy after each frame in which it changed hands."""
+    """Occupancy after each frame in which it changed hands. The few changes are staged, as the sum reads them twice."""
     change = (F.col("inside").cast("int") - F.col("was_inside").cast("int")).alias("change")
-    per_frame = (
+    per_frame = staged(
         sightings(boxes, zones, chunk_frames)
         .where("inside <> was_inside")
         .groupBy("video_id", "zone_id", "frame_id")
