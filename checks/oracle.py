@@ -553,6 +553,13 @@ SQL = {
     "entity_degree": sql("select video_id, name, count(*) as degree, count(distinct partner) as partners from ends group by all", "ends"),
     "search_events": sql("select query_id, vec_id as chunk_id, rank, round(1 / (1 + d), 4) as score from knn where rank <= 3", "knn"),
     "search_profiles": sql("select query_id, vec_id as profile_id, rank, round(1 / (1 + d), 4) as score from knn where rank <= 3", "knn"),
+    "search_many": sql(
+        """select query_id, chunk_id, rank, round(1 / (1 + d), 4) as score from (
+          select q.vec_id as query_id, e.vec_id as chunk_id, d, row_number() over (partition by q.vec_id order by d, e.vec_id) as rank
+          from embeddings q, embeddings e, lateral (select sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))) as d)
+          where q.vec_id % 20 = 0) where rank <= 5"""),
+    "search_events_window": sql(
+        "select query_id, vec_id as chunk_id, rank, printf('%.1f-%.1f', vec_id * 2.5::DOUBLE, vec_id * 2.5::DOUBLE + 5) as time_window from knn where rank <= 4", "knn"),
     "search_cosine": sql(
         "select * from (select query_id, vec_id as chunk_id, row_number() over (partition by query_id order by 1 - c, vec_id) as rank, round(1 - c, 6) as distance from cos) where rank <= 5", "cos"),
     "classify_intent": sql(

@@ -750,6 +750,24 @@ def search_profiles(spark, sf):
     )
 
 
+@query
+def search_many(spark, sf):
+    """Every twentieth vector against all of them."""
+    asked = ad.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")
+    )
+    return ve.search(_store(spark, sf, "chunk_id"), asked, "chunk_id", 5).select("query_id", "chunk_id", "rank", "score")
+
+
+@query
+def search_events_window(spark, sf):
+    """Chunks with times: what is found says where to look it up."""
+    timed = _store(spark, sf, "chunk_id").withColumns(
+        {"start_time": F.expr("chunk_id * 2.5D"), "end_time": F.expr("chunk_id * 2.5D + 5D")}
+    )
+    return ve.search_events(timed, centroids(spark, sf), 4).select("query_id", "chunk_id", "rank", "time_window")
+
+
 @query
 def search_cosine(spark, sf):
     return ve.search(_store(spark, sf, "chunk_id"), centroids(spark, sf), "chunk_id", 5, "cosine").select(

@@ -4,16 +4,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """At most ``max_rows`` rows and ``max_bytes`` bytes of values, written as JSON."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, used = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return rows <= max_rows and used <= max_bytes
 
 
 def lookup_join(
     df: DataFrame, side: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Joins a side table, broadcast if it counts at most ``max_rows`` rows.
+    """Joins a side table, broadcast if it counts at most ``max_rows`` rows and is small in bytes too.
 
     A larger side is joined by shuffle, where adaptive execution splits skewed keys.
     """

@@ -163,6 +163,23 @@ def test_forced_tick_waits_for_the_first_eligible_frame(spark):
     assert {r.frame_id: (r.forced, r.runs) for r in ticks.collect()} == {4: (False, False), 6: (True, True)}
 
 
+def test_search_blocks_ties_and_bad_vectors(spark, monkeypatch):
+    nan = float("nan")
+    vectors = [[float(i % 5), 1.0] for i in range(40)] + [None, [1.0, None], [nan, 1.0], [1.0], [0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "chunk_id bigint, embedding array<float>").repartition(3)
+    asked = [(i, [float(i), 1.0]) for i in range(5)] + [(8, None), (9, [2.0])]
+    queries = spark.createDataFrame(asked, "query_id bigint, query_vec array<double>")
+    for metric in ("l2", "cosine"):
+        whole = sorted(map(tuple, ve.search(df, queries, "chunk_id", 10, metric).collect()))
+        monkeypatch.setattr(ve, "BLOCK_CELLS", 4)
+        assert sorted(map(tuple, ve.search(df, queries, "chunk_id", 10, metric).collect())) == whole
+        monkeypatch.undo()
+        two = [[r[1] for r in sorted(whole, key=lambda r: r[3]) if r[0] == q] for q in range(5)]
+        assert [x[:8] for x in two] == [list(range(q, 40, 5)) for q in range(5)]
+        assert [r[1] for r in whole if r[0] == 9] == [43] and not [r for r in whole if r[0] == 8]
+        assert not {r[1] for r in whole} & {40, 41, 42}
+
+
 def test_search_and_intent(spark):
     rng = random.Random(1)
     store = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
@@ -175,6 +192,7 @@ def test_search_and_intent(spark):
         assert [got[q, n].chunk_id for n in (1, 2, 3)] == [i for _, i in d]
         assert got[q, 1].score == pytest.approx(1 / (1 + d[0][0]), abs=1e-4)
     assert ve.search_events(df.limit(0), queries).count() == 0
+    assert ve.search_events(df, queries.limit(0)).count() == 0
     protos = spark.createDataFrame([("full_analysis", [1.0, 0.0]), ("semantic_lookup", [0.0, 1.0])], "intent string, embedding array<double>")
     ask = spark.createDataFrame([(1, [2.0, 1.0]), (2, [1.0, 3.0]), (3, [1.0, 1.0])], "id int, query_vec array<double>")
     assert {r.id: r.intent for r in ve.classify_intent(ask, protos).collect()} == {
