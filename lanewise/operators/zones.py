@@ -27,11 +27,11 @@ def sightings(
     return against_zones(moves, zones, near_walls_only)
 
 
-def box_points(boxes: DataFrame) -> DataFrame:
+def box_points(boxes: DataFrame, *keep: str) -> DataFrame:
     px, py = bottom_centre()
     if "x" not in boxes.columns:
         boxes = boxes.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})
-    return boxes.select(*TRACK, "frame_id", "ts", px.alias("px"), py.alias("py"), "x", "y")
+    return boxes.select(*TRACK, "frame_id", "ts", px.alias("px"), py.alias("py"), "x", "y", *keep)
 
 
 def against_zones(moves: DataFrame, zones: DataFrame, near_walls_only: bool = True) -> DataFrame:

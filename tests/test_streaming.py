@@ -113,6 +113,25 @@ def test_crossings_match_batch(spark, tmp_path):
     assert total == want.where(F.floor("ts") + 1 <= closed).count() > 0
 
 
+def test_moves_forget_and_repeat(spark, tmp_path):
+    boxes = make_boxes(spark, {1: [(0, 10.0, 10.0), (1, 20.0, 20.0), (2000, 30.0, 30.0)], 2: [(1000, 0.0, 0.0), (1001, 0.0, 0.0)]})
+    again = boxes.where("track_id = 1 and frame_id = 1").withColumns(
+        {"box_ord": F.lit(99).cast(boxes.schema["box_ord"].dataType), "y2": F.col("y2") + 5}
+    )
+    boxes = boxes.unionByName(again)
+    path = in_files(boxes, tmp_path / "in", (0, 500, 1001, 1500, 10_000))
+
+    def moves(name, ttl_s):
+        read = ss.with_event_time(spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 1).parquet(path))
+        out = collect(spark, sz.stream_moves(read.withWatermark("event_time", "0 seconds"), ttl_s), tmp_path, name)
+        return {r.frame_id: (r.py, r.prev_py) for r in out.where("track_id = 1").collect()}
+
+    kept, forgot = moves("kept", None), moves("forgot", 5.0)
+    assert kept.keys() == forgot.keys() == {0, 1, 2000}
+    assert kept[1][0] - kept[0][0] == 15 and kept[2000][1] == kept[1][0]
+    assert forgot[1] == kept[1] and forgot[2000] == (kept[2000][0], None)
+
+
 def test_alert_sinks(spark, positions, tmp_path):
     rows = tr.trajectories(positions, fps=10)
     fired = sa.stream_cooldown(sa.stream_vehicle_candidates(stream(spark, rows, tmp_path / "in")))
