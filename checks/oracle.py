@@ -626,3 +626,17 @@ err as (select *, round(sqrt((world_x - gx)*(world_x - gx) + (world_y - gy)*(wor
 """
 SQL["point_errors"] = _ERRORS + "select video_id, l_orderkey, l_linenumber, l_partkey, pixel_x, e as error_m from err"
 SQL["reprojection_error"] = _ERRORS + "select video_id, count(*) as points, round(sqrt(avg(e * e)), 4) as rmse_m from err group by 1 having count(*) >= 4"
+_CALLS = sql(_pct("(select (frame_id * 3 + elements)::DOUBLE as ms from tick_count)", "", "ms", (50, 95)), "tick_count")
+
+
+def _json(key, value, source):
+    return f"""select '{{' || string_agg('"' || {key} || '":' || {value}, ',' order by {key}) || '}}' from ({source})"""
+
+
+_STORE = """'{"calls":' || calls || ',"rows_written":' || rows_written || ',"p50":' || p50 || ',"p95":' || p95 || ',"avg_similarity":0.0}'"""
+SQL["metrics_report"] = f"""select t.*, m.*, l.p50 as model_p50, l.p95 as model_p95, g.*, a.*, r.*, q.* exclude (queries), q.queries as agent_queries,
+  ({_json('op', _STORE, SQL['store_metrics'])}) as stores,
+  ({_json('tool', 'calls', SQL['tool_distribution'])}) as tools, ({_json('route', 'queries', SQL['route_distribution'])}) as routes
+from ({SQL['throughput']}) t, ({SQL['model_quality']}) m, ({_CALLS}) l,
+  (select sum(motion_skips)::BIGINT as motion_skips, sum(forced_ticks)::BIGINT as forced_ticks from ({SQL['tick_counts']})) g,
+  ({SQL['alert_metrics']}) a, ({SQL['graph_totals']}) r, ({SQL['agent_metrics']}) q"""

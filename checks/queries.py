@@ -849,16 +849,18 @@ def route_distribution(spark, sf):
 
 @query
 def metrics_report(spark, sf):
+    """The whole report; its maps as JSON."""
     candidates = staged(al.alert_candidates(traj(spark, sf)))
     fired = al.cooldown(candidates, fps=FPS, chunk_frames=CHUNK)
     boxes = ad.boxes(spark, sf)
     eligible = be.eligible_frames(boxes)
     run = be.macro_ticks(eligible, ad.motion_scores(spark, sf), be.forced_ticks(eligible, fired), FPS)
     graph = gr.graph_totals(edges(spark, sf), precedes(spark, sf))
-    return me.metrics_report(
+    report = me.metrics_report(
         boxes, 142.3, model_calls(spark, sf), be.tick_counts(run), candidates, fired,
         operations(spark, sf), graph, agent_questions(spark, sf),
     )
+    return report.withColumns({c: F.to_json(c) for c in ("distribution", "stores", "tools", "routes")})
 
 
 @query
