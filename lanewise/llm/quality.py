@@ -4,7 +4,9 @@ The model is a table of n-grams with their interpolated probability and their we
 spread over the cluster by n-gram. Documents are dealt into blocks; a block asks for its distinct
 n-grams only, the join with the table answers, and the block's documents are scored from the
 answers. A document's perplexity is held against quantiles of the trusted documents' perplexities
-in its language.
+in its language. The high one is taken by models that have not seen them: trusted texts are dealt
+into folds, and the counts of a fold are subtracted for its own documents. The low one is that of
+texts the whole model knows, since a model of fewer texts would set it too high.
 """
 
 import math
@@ -23,6 +25,10 @@ from lanewise.plans.staging import staged
 ORDER = 4
 BEGIN, END = "\x02", "\x03"
 BLOCK_BYTES = 16 << 20
+#: Trusted texts are dealt into so many folds by hash of the text, so that copies share one.
+FOLDS = 4
+#: Between a language and the fold that its model leaves out; nothing after it for the whole model.
+MARK = "\x1f"
 #: Perplexities of trusted documents are counted in steps of this logarithm.
 BIN = 0.002
 LOW, HIGH = 0.001, 0.995
@@ -94,9 +100,11 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seen, place[seen], number[key]
 
 
-def by_language(langs: list[str], column):
+def by_language(langs: list, column):
     """``lang, positions, texts`` in slices of bounded size; null and empty texts are left out.
 
+    A language's slices come in a row.
+
     ``column`` is an Arrow column of strings, of which only a slice at a time becomes Python strings.
     """
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
@@ -116,19 +124,39 @@ def by_language(langs: list[str], column):
 # ---- the model ----------------------------------------------------------------------------
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang, gram, c`` over all documents of ``lang, text``; tasks hand on distinct n-grams only."""
+def count_grams(docs: DataFrame, folds: int = 1) -> DataFrame:
+    """``lang, gram, c0, c1, ..`` over all documents of ``lang, text``, a count for each fold of the texts.
+
+    Tasks hand on distinct n-grams only.
+    """
+    columns = [f"c{f}" for f in range(folds)]
 
     def run(batches):
         for batch in batches:
-            for lang, _, texts in by_language(batch.column(0).to_pylist(), batch.column(1)):
-                grams, index, _ = grams_of(texts)
+            fold = batch.column(2).to_numpy(zero_copy_only=False)
+            for lang, rows, texts in by_language(batch.column(0).to_pylist(), batch.column(1)):
+                grams, index, runs = grams_of(texts)
+                cell = index * folds + np.repeat(fold[rows], runs)
+                c = np.bincount(cell, minlength=len(grams) * folds).reshape(-1, folds)
                 yield pa.RecordBatch.from_pydict(
-                    {"lang": [lang] * len(grams), "gram": grams.tolist(), "c": np.bincount(index, minlength=len(grams))}
+                    {"lang": [lang] * len(grams), "gram": grams.tolist(), **{n: c[:, f] for f, n in enumerate(columns)}}
                 )
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram string, c long")
-    return counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    schema = ", ".join(["lang string", "gram string", *[f"{c} long" for c in columns]])
+    counted = docs.select("lang", "text", fold_of("text", folds).alias("fold")).mapInArrow(run, schema)
+    return counted.groupBy("lang", "gram").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def fold_of(text: str, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(folds))
+
+
+def without_each_fold(counts: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """``lang, gram, c``: the whole counts, and for each fold those of the others, by marked language."""
+    whole = sum((F.col(f"c{f}") for f in range(folds)), F.lit(0))
+    of = lambda fold, c: F.struct(F.concat("lang", F.lit(f"{MARK}{fold}")).alias("lang"), "gram", c.alias("c"))
+    rows = F.array(of("", whole), *[of(f, whole - F.col(f"c{f}")) for f in range(folds)])
+    return counts.select(F.inline(rows)).where("c > 0")
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -146,13 +174,22 @@ def discounts(counts: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """``lang, gram, p, weight``, written once: the model of ``lang, text`` rows.
+    """``lang, gram, p, weight``, written once: the model of ``lang, text`` rows, see ``model_of``."""
+    return model_of(staged(count_grams(trusted)).withColumnRenamed("c0", "c"))
+
+
+def train_in_folds(trusted: DataFrame) -> DataFrame:
+    """The models of ``lang, text`` rows, the whole ones and those without each fold, by marked language."""
+    return model_of(without_each_fold(staged(count_grams(trusted, FOLDS))))
+
+
+def model_of(counts: DataFrame) -> DataFrame:
+    """``lang, gram, p, weight``, written once, of ``lang, gram, c``.
 
     ``p`` is the interpolated probability of a gram's last character after the others (null for what
     occurs as a context only), ``weight`` what a context hands on to the next shorter one. The empty
     gram's ``p`` is that of an unseen character.
     """
-    counts = staged(count_grams(trusted))
     levels = [counts]
     for _ in range(ORDER - 1):  # lower orders count the different characters in front
         shorter = levels[0].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("c"))
@@ -220,12 +257,17 @@ ASKED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.str
 def _ask(block: pa.Table) -> pa.Table:
     """The distinct grams, and parts of grams, that a block's texts are scored from."""
     wanted: dict[str, set] = {}
-    for lang, _, texts in by_language(block.column("lang").to_pylist(), block.column("text")):
-        wanted.setdefault(lang, set()).update(grams_of(texts)[0].tolist())
+    number = block["block"][0].as_py()
+    keys = zip(block["lang"].to_pylist(), block["trusted"].to_pylist(), strict=True)
+    for (lang, trusted), _, texts in by_language(list(keys), block.column("text")):
+        grams = grams_of(texts)[0].tolist()
+        wanted.setdefault(f"{lang}{MARK}", set()).update(grams)
+        if trusted:  # all of one fold, see judge()
+            wanted.setdefault(f"{lang}{MARK}{number % FOLDS}", set()).update(grams)
     out = []
     for lang, grams in wanted.items():
         need = list({p for g in grams for p in parts_of(g)})
-        out.append(pa.table([[block["block"][0].as_py()] * len(need), [lang] * len(need), need], schema=ASKED))
+        out.append(pa.table([[number] * len(need), [lang] * len(need), need], schema=ASKED))
     return pa.concat_tables(out) if out else ASKED.empty_table()
 
 
@@ -236,27 +278,31 @@ def _column_by_gram(answers: pa.Table, column: str) -> dict[str, float]:
 
 def _scorer(trusted_only: bool):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        fold = block["block"][0].as_py() % FOLDS if block.num_rows else 0
         block = block.drop_columns(["block"])
         if trusted_only:
             block = block.filter(block["trusted"])
-        models: dict[str, tuple[dict, dict]] = {}
-        for lang in answers["lang"].unique().to_pylist() if answers.num_rows else []:
-            own = answers.filter(pc.equal(answers["lang"], lang))
-            models[lang] = tuple(_column_by_gram(own, c) for c in ("p", "weight"))
-        values: dict[str, dict[str, float]] = {}
         n = np.zeros(block.num_rows, np.int64)
-        log = np.full(block.num_rows, np.nan)
+        marks = ["", str(fold)] if trusted_only else [""]
+        logs = [np.full(block.num_rows, np.nan) for _ in marks]
+        now, models, values = None, [], []
         for lang, rows, texts in by_language(block["lang"].to_pylist(), block["text"]):
             grams, index, runs = grams_of(texts)
             n[rows] = runs
-            if lang in models:
-                known = values.setdefault(lang, {})
-                known.update((g, log_probability(g, *models[lang])) for g in grams.tolist() if g not in known)
-                value = np.array([known[g] for g in grams.tolist()])
-                log[rows] = -np.add.reduceat(value[index], np.cumsum(runs) - runs) / runs
+            if lang != now:  # one language at a time is held
+                now, models, values = lang, [], [{} for _ in marks]
+                for mark in marks:
+                    own = answers.filter(pc.equal(answers["lang"], f"{lang}{MARK}{mark}"))
+                    models.append(tuple(_column_by_gram(own, c) for c in ("p", "weight")))
+            for log, model, known in zip(logs, models, values, strict=True):
+                if model[0]:
+                    known.update((g, log_probability(g, *model)) for g in grams.tolist() if g not in known)
+                    value = np.array([known[g] for g in grams.tolist()])
+                    log[rows] = -np.add.reduceat(value[index], np.cumsum(runs) - runs) / runs
         scored = block.select(["lang"]) if trusted_only else block
         scored = scored.append_column("n_grams", pa.array(n))
-        scored = scored.append_column("log_perplexity", pa.array(log, from_pandas=True))
+        for name, log in zip(("log_perplexity", "held_out"), logs):
+            scored = scored.append_column(name, pa.array(log, from_pandas=True))
         return pa.Table.from_batches(scored.combine_chunks().to_batches(OUT_ROWS), scored.schema)
 
     return run
@@ -281,19 +327,24 @@ def judge(
     """``row`` (the document), ``n_grams, perplexity, least, most, keep`` for every document row.
 
     Trusted are the documents of ``docs`` that ``labels`` calls good. ``least`` and ``most`` are the
-    ``low`` and ``high`` quantiles of the trusted perplexities of the language, widened by
-    ``margin`` and, for the text's length, by ``SCATTER``. A document outside is not kept. A null or empty text is not kept; a language without
-    trusted text, null included unless it has some, has no limits, and its documents are kept.
+    ``low`` quantile of the trusted perplexities of the language and the ``high`` one of the
+    held-out ones, widened by ``margin`` and, for the text's length, by ``SCATTER``. A document
+    outside is not kept. A null or empty text is not kept; a language without trusted text, null
+    included unless it has some, has no limits, and its documents are kept. One whose trusted texts
+    all fall into one fold has no held-out perplexity, and so no ``most``.
     Repeated rows are judged alike; a label that comes twice counts as bad if one of them is. No
     rows give no rows.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     lang = F.coalesce("lang", F.lit(""))
     marked = trust(docs.select(F.struct(*columns).alias("row"), "doc_id", lang.alias("lang"), "text"), labels)
-    model = train(marked.where("trusted"))
+    model = train_in_folds(marked.where("trusted"))
 
-    blocks = blocks_for(docs, "text", block_bytes)
-    dealt = marked.select("row", "lang", "text", "trusted", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    # The trusted documents of a block are of one fold, so that it asks one held-out model a language.
+    blocks = -(-blocks_for(docs, "text", block_bytes) // FOLDS) * FOLDS
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
+    block = F.when(F.col("trusted"), block - block % FOLDS + fold_of("text")).otherwise(block)
+    dealt = marked.select("row", "lang", "text", "trusted", block.alias("block"))
     # Carried once: the text stays out of ``row`` on the way.
     others = [c for c in docs.columns if c != "text"]
     dealt = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("rest"), "lang", "text", "trusted", "block")
@@ -303,11 +354,12 @@ def judge(
     def scored(trusted_only: bool, schema) -> DataFrame:
         return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(trusted_only), schema)
 
-    own = scored(True, "lang string, n_grams long, log_perplexity double").where("log_perplexity is not null")
+    own = scored(True, "lang string, n_grams long, log_perplexity double, held_out double")
     room = F.lit(SCATTER) / F.sqrt(F.greatest("n_grams", F.lit(1)))
-    bounds = F.array(F.col("log_perplexity") + room, F.col("log_perplexity") - room)
+    bounds = F.array(F.col("log_perplexity") + room, F.col("held_out") - room)
     counted = (
         own.select("lang", F.posexplode(bounds).alias("side", "value"))
+        .where("value is not null")
         .groupBy("lang", "side", F.floor(F.col("value") / BIN).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
@@ -319,7 +371,8 @@ def judge(
     schema = T.StructType(
         [*[f for f in dealt.schema if f.name != "block"], T.StructField("n_grams", T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
     )
-    both = scored(False, schema).join(limits, "lang", "left").withColumns(
+    # One row for each language with trusted text.
+    both = scored(False, schema).join(F.broadcast(limits), "lang", "left").withColumns(
         {"_least": F.col("_least") - room, "_most": F.col("_most") + room}
     )
     inside = F.col("log_perplexity").between(F.col("_least"), F.col("_most"))

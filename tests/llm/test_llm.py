@@ -115,6 +115,25 @@ def test_quality_of_documents(spark, odd):
     assert all(r.keep == bool(r.n_grams) for r in quality.judge(docs, labels.limit(0)).collect())
 
 
+def test_limits_are_those_of_unseen_text(spark):
+    """Clean documents that nobody labelled stay, also where a language has few trusted ones."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 9)))) for _ in range(600)]
+    texts = [" ".join(rng.choice(vocabulary, 60)) for _ in range(90)]
+    junk = [(500, "X%%% Q*** ZZ$$$ ### &&&" * 10, "de", "a"), (501, "ab " * 200, "de", "a")]
+    # Copies of a trusted text share its fold.
+    docs = frame(spark, [(i, t, "de", "a") for i, t in enumerate(texts)] + [(600 + i, texts[0], "de", "a") for i in range(20)] + junk)
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(30), *range(600, 620)]], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.judge(docs, labels, block_bytes=5000).select("row.doc_id", "perplexity", "most", "keep").collect()}
+    assert len(rows) == 112 and not rows[500].keep and not rows[501].keep
+    assert all(rows[i].keep for i in range(30)) and sum(rows[i].keep for i in range(30, 90)) >= 58
+    # The counts without a fold are the counts of the other texts.
+    trusted = docs.where("doc_id < 30").withColumn("fold", quality.fold_of("text"))
+    held = quality.without_each_fold(quality.count_grams(trusted, quality.FOLDS)).where(f"lang = 'de{quality.MARK}1'")
+    other = quality.count_grams(trusted.where("fold != 1"))
+    assert sorted((r.gram, r.c) for r in held.collect()) == sorted((r.gram, r.c0) for r in other.collect())
+
+
 # ---- 2 near duplicates --------------------------------------------------------------------
 
 
