@@ -154,7 +154,7 @@ GATE = frozenset(
     b"license licence licenses licensed licensing spdx copyright reserved cc cc0 gpl gplv2 gplv3 v2 v3 lgpl lgplv2 lgplv3"
     b" agpl agplv3 gnu unlicense wtfpl creative creativecommons domain permission redistribution advertising contributors"
     b" software proprietary eula oracle sil unauthorized unauthorised confidential apache mozilla bsd attribution psf vorbehalten"
-    b" reservados droits zlib opendatacommons eclipse fsl vimhelp xfree86 mariadb europa clause".split()
+    b" reservados droits copying zlib opendatacommons eclipse fsl vimhelp xfree86 mariadb europa clause".split()
 )
 
 

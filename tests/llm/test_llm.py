@@ -352,6 +352,36 @@ def test_keyword_filter_hides_no_match(label, name):
                 assert not m or rule.keywords <= set(m[0].split())
 
 
+def shortest_matches(tree):
+    """Strings that a parsed pattern matches: every branch, options in and out."""
+    out = [""]
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts = [chr(value)]
+        elif name == "IN":
+            parts = [next((chr(v) for o, v in value if str(o) == "LITERAL"), "1")]
+        elif name == "SUBPATTERN":
+            parts = shortest_matches(value[3])
+        elif name == "BRANCH":
+            parts = [x for branch in value[1] for x in shortest_matches(branch)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            parts = [x * max(k, 1) if k else "" for k in {value[0], min(1, value[1])} for x in shortest_matches(value[2])]
+        else:
+            parts = ["a" if name in ("ANY", "NOT_LITERAL") else ""]
+        out = list(dict.fromkeys(a + b for a in out for b in parts))
+    return out
+
+
+def test_gate_and_keywords_hide_no_rule():
+    assert licenses.scan(b"See the file COPYING for details.")[5:] == ("license-file", next(r.score for r in licenses.RULES if r.label == "license-file"))
+    for rule in licenses.RULES:
+        texts = shortest_matches(re._parser.parse(rule.regex.pattern.decode()))
+        lines = [f" {t.strip()} ".encode() for t in texts]
+        hits = [line for line in lines if rule.regex.search(line)]
+        assert hits and all(rule.keywords <= set(h.split()) and not licenses.GATE.isdisjoint(h.split()) for h in hits)
+
+
 # ---- 7 decontamination --------------------------------------------------------------------
 
 
