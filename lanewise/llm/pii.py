@@ -78,6 +78,11 @@ def valid_ssn(x: str) -> bool:
     return x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
 
 
+def borders(text: str, inside: str) -> list[int]:
+    """Lengths, falling, at which a run of characters of ``inside`` ends before the text does."""
+    return [i for i in range(len(text) - 1, 0, -1) if text[i] not in inside and text[i - 1] in inside]
+
+
 def refill(shape: str, chars: str, inside: str) -> str:
     """``shape`` with its characters out of ``inside`` replaced in turn by ``chars``."""
     it = iter(chars)
@@ -118,6 +123,12 @@ def swap_number(digits: str, key: bytes, kind: str, ok=None) -> str:
 def card(m: re.Match, key: bytes) -> str | None:
     d = "".join(c for c in m[0] if c in DIGITS)
     if luhn_digit(d[:-1]) != d[-1]:
+        # A card with more digits behind it is the same card as elsewhere; the rest goes too.
+        for n in borders(m[0], DIGITS):
+            head = "".join(c for c in m[0][:n] if c in DIGITS)
+            if len(head) >= 13 and luhn_digit(head[:-1]) == head[-1]:
+                rest = swap_number(d[len(head) :], key, "rest")
+                return card(ANY.match(m[0], 0, n), key) + refill(m[0][n:], rest, DIGITS)
         # No card, but a run this long is an account of some kind: any other that fails the check too.
         new = swap_number(d, key, "account", lambda x: luhn_digit(x[:-1]) != x[-1])
     else:
@@ -204,23 +215,39 @@ class Kind:
     swap: Callable[[re.Match, bytes], str | None]
 
 
+#: Borders of ASCII words: what stands directly against other scripts or accented letters counts too.
+WORD = "A-Za-z0-9_"
+BEFORE, AFTER = f"(?<![{WORD}])", f"(?![{WORD}])"
+#: Where a match whose check fails may end instead, see ``cuts``.
+ANY = re.compile("(?s).+")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24"
+        " FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21"
+        " LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22"
+        " RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
+
 #: In order of priority where two begin at the same place.
 KINDS = (
-    Kind("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", email),
-    Kind("access_key", r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b", access_key),
+    Kind("email", rf"(?<![{WORD}.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}}", email),
+    Kind("access_key", rf"{BEFORE}A(?:KIA|SIA)[0-9A-Z]{{16}}{AFTER}", access_key),
     Kind(
         "secret",
-        r"(?P<secret_head>\b(?:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?[\"']?)(?P<secret_value>[A-Za-z0-9_\-]{8,})",
+        rf"(?P<secret_head>{BEFORE}(?:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?[\"']?)(?P<secret_value>[A-Za-z0-9_\-]{{8,}})",
         secret,
     ),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    Kind("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])(?!\w)", ip),
-    Kind("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![\w/-])", date),
-    Kind("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
-    Kind("card", r"(?<![\w+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
+    Kind("iban", rf"{BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{AFTER}", iban),
+    Kind("ip", rf"(?<![{WORD}.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?!\.?[0-9]){AFTER}", ip),
+    Kind("date", rf"(?<![{WORD}/.-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=T[0-9])|(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}([/.])[0-9]{{1,2}}\1[0-9]{{4}})(?![{WORD}/-]))", date),
+    Kind("ssn", rf"(?<![{WORD}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{WORD}-])", ssn),
+    Kind("card", rf"(?<![{WORD}+-])[0-9](?:[ -]?[0-9]){{12,18}}(?![{WORD}-])", card),
     Kind(
         "phone",
-        r"(?<![\w+])(?:\+[0-9](?:[ .-]?\(?[0-9]{1,4}\)?){2,6}|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?!\w)",
+        rf"(?<![{WORD}+])(?:\+[0-9](?:[ .-]?\(?[0-9]{{1,4}}\)?){{2,6}}|\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}){AFTER}",
         phone,
     ),
 )
@@ -242,21 +269,52 @@ GATE = re.compile(r"[0-9@]|[=:]\s?[\"']?[A-Za-z0-9_\-]{8}")
 BY_NAME = {k.name: k.swap for k in KINDS}
 
 
+#: Kinds that may stand where one of higher priority fails its check.
+ALONE = [(k.name, re.compile(k.pattern)) for k in KINDS]
+
+
+def cuts(kind: str, text: str) -> list[int]:
+    """Lengths shorter than ``text`` at which it may still be of its kind: IBANs in front of other words."""
+    if kind != "iban":
+        return []
+    ends = borders(text, DIGITS + LOWER.upper())
+    known = IBAN_LENGTHS.get(text[:2])
+    return [n for n in ends if known in (None, n - text.count(" ", 0, n))]
+
+
+def replacement(text: str, m: re.Match, key: bytes) -> tuple[str, int, str] | None:
+    """The kind of what begins where ``m`` does, its end and what replaces it; None if every check fails."""
+    at, first = m.start(), next(i for i, k in enumerate(KINDS) if m[k.name] is not None)
+    for name, pattern in ALONE[first:]:
+        own = pattern.match(text, at)
+        if own is None:
+            continue
+        new = BY_NAME[name](own, key)
+        if new is not None:
+            return name, own.end(), new
+        for n in cuts(name, own[0]):
+            new = BY_NAME[name](ANY.match(text, at, at + n), key)
+            if new is not None:
+                return name, at + n, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with replacements and the kinds of what was replaced, in order."""
     if not GATE.search(text):
         return text, []
     found: list[str] = []
-
-    def swap(m: re.Match) -> str:
-        kind = next(k.name for k in KINDS if m[k.name] is not None)
-        new = BY_NAME[kind](m, key)
-        if new is None:
-            return m[0]
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        hit = replacement(text, m, key)
+        if hit is None:  # something else may begin inside
+            at = m.start() + 1
+            continue
+        kind, at, new = hit
         found.append(kind)
-        return new
-
-    return PATTERN.sub(swap, text), found
+        out += [text[done : m.start()], new]
+        done = at
+    return "".join([*out, text[done:]]), found
 
 
 FIELDS = [T.StructField("new_text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]
