@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.plans.joins import lookup_join
 from lanewise.plans.staging import staged
 
 #: Verdict and rule; a rule is a host and a path. It fits the host's subdomains too.
@@ -20,7 +21,7 @@ RULES = (
 BAD_WORDS = tuple(
     "adult ads bet bets casino cheap escort farm free loan pills poker porn replica sex spam torrent track viagra win xxx".split()
 )
-#: At most so many labelled urls, those of the smallest hashes, train the trees.
+#: At most so many different labelled urls, those of the smallest hashes, train the trees.
 TRAINING_ROWS = 20_000
 TREES, DEPTH, SEED = 12, 3, 17
 BLOCK_FROM = 0.5
@@ -41,6 +42,12 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)).otherwise("")
 
 
+def suffix_of(host: Column) -> Column:
+    """The last two labels of a host."""
+    labels = F.split(host, r"\.")
+    return F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), 2), ".")
+
+
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, null if none does. Of equal rules the first counts."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -78,7 +85,7 @@ def with_features(pages: DataFrame) -> DataFrame:
         pages.withColumns({"host": host_of(url), "path": path_of(url)})
         .withColumns(
             {
-                "suffix": F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), 2), "."),
+                "suffix": suffix_of(host),
                 "url_length": F.length(url).cast("double"),
                 "host_length": F.length("host").cast("double"),
                 "path_length": F.length("path").cast("double"),
@@ -105,19 +112,23 @@ def is_bad_host(host: Column, words=BAD_WORDS) -> Column:
 class UrlModel:
     """Trees and suffix statistics learnt from ``url, bad`` rows (bad: 0.0 or 1.0).
 
-    Rows beyond ``rows`` are left out by hash of the url. Suffix statistics are smoothed shares of
-    bad hosts under each suffix, from the same bounded sample. With one class only, nothing is learnt and every
-    url gets that class's score.
+    Suffix statistics are smoothed shares of bad rows under each suffix, counted over all rows. Only
+    the trees are fitted on a sample: of the different urls, those beyond ``rows`` are left out by
+    hash. If the sample has one class only, no trees are learnt and every url gets the share of bad
+    rows as its score.
     """
 
     def __init__(self, labelled: DataFrame, rows: int = TRAINING_ROWS):
-        chosen = labelled.where("url is not null").select("url", "bad").orderBy(F.xxhash64("url"), "url", "bad").limit(rows)
+        known = labelled.where("url is not null").select("url", "bad")
+        counted = staged(
+            known.groupBy(suffix_of(host_of(F.col("url"))).alias("suffix")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+        )
+        n, bad = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+        self.prior = bad / n if n else 0.0
+        self.rates = counted.select("suffix", ((F.col("bad") + 10 * self.prior) / (F.col("n") + 10)).alias("suffix_rate"))
+        chosen = known.distinct().orderBy(F.xxhash64("url"), "url", "bad").limit(rows)
         sample = staged(with_features(chosen.coalesce(1)))
         n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
-        self.prior = bad / n if n else 0.0
-        self.rates = sample.groupBy("suffix").agg(
-            ((F.sum("bad") + 10 * self.prior) / (F.count("*") + 10)).alias("suffix_rate")
-        )
         self.model = None
         if 0 < bad < n:
             self.model = GBTClassifier(
@@ -125,8 +136,7 @@ class UrlModel:
             ).fit(self._vectors(sample).select("features", "bad").coalesce(1))
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        # At most one row for each url of the bounded sample.
-        rated = rows.join(F.broadcast(self.rates), "suffix", "left").fillna(self.prior, ["suffix_rate"])
+        rated = lookup_join(rows, self.rates, ["suffix"]).fillna(self.prior, ["suffix_rate"])
         return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(rated)
 
     def score(self, pages: DataFrame) -> DataFrame:

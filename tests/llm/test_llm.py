@@ -255,6 +255,16 @@ def test_urls_follow_rules_then_trees(spark):
     assert empty.count() == 0
 
 
+def test_suffixes_are_counted_over_all_rows(spark):
+    hot = [(f"http://news.hot.org/{i % 2}",) for i in range(300)]
+    rare = [(f"http://{'free-bets' if i % 3 else 'x'}.s{i // 3}.org/",) for i in range(60)]
+    model = urls.UrlModel(urls.weak_labels(spark.createDataFrame(hot + rare, "url string")), rows=40)
+    assert model.prior == pytest.approx(40 / 360) and model.model is not None
+    rates = {r.suffix: r.suffix_rate for r in model.rates.collect()}
+    want = {"hot.org": 10 * model.prior / 310} | {f"s{i}.org": (2 + 10 * model.prior) / 13 for i in range(20)}
+    assert rates == pytest.approx(want)
+
+
 # ---- 4 tokens -----------------------------------------------------------------------------
 
 
