@@ -21,7 +21,7 @@ from lanewise.llm.common import annotate
 
 #: Elements without an end tag, with raw content, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
+RAW = frozenset("script style noscript template textarea iframe svg object".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary"
@@ -54,12 +54,16 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
-def read_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order; entities decoded, white space inside a block turned into one space."""
+def read_blocks(page: str, labelled: bool = False) -> list[Block]:
+    """Blocks with text, in page order; entities decoded, white space inside a block turned into one space.
+
+    ``labelled`` pages are those of ``variant``, whose elements say what they are.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str, int | None]] = []
     now: Block | None = None
     links = 0
+    unclosed: set[str] = set()
 
     def text(raw: str) -> None:
         nonlocal now
@@ -96,8 +100,15 @@ def read_blocks(page: str) -> list[Block]:
                 links = sum(t == "a" for t, _, _ in stack)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
+            if tag == "svg" and m[3].rstrip(">").endswith("/"):
+                continue
+            close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif tag in ("script", "style"):
+                at = end
+            else:  # without an end tag, only the tag itself is left out
+                unclosed.add(tag)
             continue
         if tag in VOID or m[3].rstrip(">").endswith("/") and tag not in BLOCK:
             continue
@@ -113,7 +124,8 @@ def read_blocks(page: str) -> list[Block]:
         words, label = "", None
         if "=" in m[3]:
             found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])}
-            label = int(found.pop("data-label")) if "data-label" in found else None
+            own = found.pop("data-label", None)
+            label = int(own) if labelled and own is not None else None
             words = " ".join(found.values()).lower()
         stack.append((tag, words, label))
         links += tag == "a"
@@ -321,7 +333,7 @@ def labelled(page: str, seed: int, variants: int = 2) -> list[list[Block]]:
     if not label_blocks(blocks):
         return []
     draw = random.Random(seed)
-    return [blocks, *[read_blocks(variant(page, blocks, draw)) for _ in range(variants)]]
+    return [blocks, *[read_blocks(variant(page, blocks, draw), True) for _ in range(variants)]]
 
 
 def fit(pages: DataFrame, column: str = "html", most: int = TRAINING_PAGES) -> Field:

@@ -439,6 +439,19 @@ def test_blocks_of_broken_markup():
     assert html.read_blocks("") == [] and html.read_blocks("<p> </p>") == []
 
 
+def test_only_raw_elements_are_dropped():
+    texts = lambda body: [b.text for b in html.read_blocks(body)]
+    assert texts('<p>a<svg class="icon"/>b</p><p>c</p><svg><text>x</text></svg><p>d</p>') == ["ab", "c", "d"]
+    assert texts("<p>a<math/>b <math><mi>x</mi><mo>=</mo><mn>1</mn></math> c</p><p>d</p>") == ["ab x=1 c", "d"]
+    for tag in ("iframe", "object", "template", "noscript", "textarea", "svg"):
+        assert texts(f"<p>a</p><{tag} id='x'><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>var x = 1;") == ["a"] == texts("<p>a</p><style>p {}")
+    priced = "<article><table><tr><td data-label='Price'>5 euros.</td><td data-label=\"1\">Two words.</td></tr></table></article>"
+    assert [(b.text, b.label) for b in html.read_blocks(priced)] == [("5 euros.", None), ("Two words.", None)]
+    assert [b.label for b in html.labelled(priced, 1)[0]] == [1, 1]
+
+
 def test_text_of_held_out_pages(spark):
     bodies = [[f"Paragraph {j} of page {i} has several words, and ends." for j in range(3 + i % 4)] for i in range(80)]
     rows = [(i, f"u{i}", page(i, "".join(f"<p>{x}</p>" for x in b))) for i, b in enumerate(bodies)]
