@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: an LSH forest of MinHash signatures, followed by exact verification.
+"""N-gram Jaccard join: fixed MinHash banding in place of an LSH forest, and exact verification.
 
-Texts with the same words are one class from the start. A class's signature is cut into trees; in
-each tree the classes stand in the order of their prefixes, and those that share a prefix are
-candidates. Prefixes are shortened level by level until the share of pairs at the threshold that
-meet in some tree reaches the target recall. Candidates are gathered into groups, every group's
+Texts with the same words are one class from the start. The LSH forest this stands in for is not
+built: no signatures are sorted and no prefix is shortened by what was found. Each of the trees has
+one band of the same depth, worked out beforehand as the longest at which the expected share of pairs
+at the threshold that meet in some tree reaches the target recall; classes with the same band are candidates. One depth is
+enough since the threshold is fixed, and it needs one hash a tree. Candidates are gathered into groups, every group's
 shingle sets are compared exactly, and large groups are cut into blocks that meet pair by pair.
 """
 
