@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import decontamination, html, licenses, mixing, neardup, pii, quality, tokens, topk, urls
+from lanewise.llm import collocations, decontamination, divergence, html, licenses, mixing, neardup, pii, quality, spelling, tokens, topk, urls
 
 QUERIES = {}
 
@@ -107,3 +107,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
     return judged.select("row.doc_id", "row.lang", "n_grams", "perplexity", "least", "most", "keep")
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are written like the others of their language?"""
+    judged = divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words are one letter away from a far more frequent one?"""
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which phrases of two or three words stick together most in each language?"""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
