@@ -113,12 +113,23 @@ CTE = {
         union all select video_id, frame_id, ts, track_id, track_id, track_id, 'AGGRESSIVE_ACCEL', 'warning', accel_mag
           from traj_motion where warm and accel_mag > 3.5::DOUBLE""",
     ),
-    "pairs": (
+    # Rows meet in cells of 5 m: each in its own on the left, in its own and the eight around it on the right.
+    "cells": (
         ["traj"],
+        "select *, floor(x / 5::DOUBLE)::bigint as cx, floor(y / 5::DOUBLE)::bigint as cy from traj",
+    ),
+    "around": (
+        ["cells"],
+        """select * replace (cx + dx as cx, cy + dy as cy) from cells, (select unnest([-1, 0, 1]) as dx),
+          (select unnest([-1, 0, 1]) as dy)""",
+    ),
+    "pairs": (
+        ["around"],
         """select * from (select a.video_id, a.frame_id, a.ts, a.track_id as a_id, b.track_id as b_id,
           sqrt((b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y)) as d,
           case when a.warm and b.warm then (b.x - a.x)*(b.vx - a.vx) + (b.y - a.y)*(b.vy - a.vy) < 0 else true end as closing
-          from traj a join traj b on a.video_id = b.video_id and a.frame_id = b.frame_id and a.box_ord < b.box_ord) where d < 5""",
+          from cells a join around b on a.video_id = b.video_id and a.frame_id = b.frame_id and a.cx = b.cx and a.cy = b.cy
+          where a.box_ord < b.box_ord) where d < 5""",
     ),
     "pair_cand": (
         ["pairs"],
@@ -353,6 +364,10 @@ CTE = {
 }
 
 
+#: Steps that are read more than once and are worked out once.
+MATERIALIZED = ("traj", "cells", "around", "pairs")
+
+
 def sql(body, *needs):
     done = []
 
@@ -365,7 +380,7 @@ def sql(body, *needs):
 
     for n in needs:
         add(n)
-    ctes = ",\n".join(f"{n} as ({CTE[n][1]})" for n in done)
+    ctes = ",\n".join(f"{n} as {'materialized ' * (n in MATERIALIZED)}({CTE[n][1]})" for n in done)
     return (f"with recursive {ctes}\n" if done else "") + body
 
 
