@@ -19,6 +19,7 @@ from lanewise.sources import readers as rd
 from lanewise.sources import writers as wr
 from lanewise.streaming import alerts as sa
 from lanewise.streaming import kinematics as sk
+from lanewise.streaming import live as lv
 from lanewise.streaming import sinks as ss
 from lanewise.streaming import zones as sz
 
@@ -191,3 +192,68 @@ def stream_crossings(spark, sf):
     events = sunk(sz.stream_gate_events(boxes, ad.zones(spark, sf)))
     again = spark.readStream.schema(events.schema).parquet(events.inputFiles()[0].rsplit("/", 1)[0])
     return sunk(sz.drop_late_guesses(again)).select(*q.EVENT_COLS)
+
+
+@round_trip(BATCH_SQL["alert_cooldown"])
+def stream_boxes_to_alerts(spark, sf):
+    """Kinematics, close pairs, vehicle alerts and the cool-down in one streaming query."""
+    boxes = stream_of(lv.ready(spark), q.positions(spark, sf), folder(spark))
+    return sunk(lv.live_alerts(boxes, fps=q.FPS)).select(
+        "video_id", "alert_type", "id_lo", "id_hi", "frame_id", "track_id"
+    )
+
+
+@round_trip(BATCH_SQL["pair_distances"])
+def stream_pairs_one_read(spark, sf):
+    """Close pairs by state per frame, from a single source."""
+    rows = stream_of(lv.ready(spark), q.traj(spark, sf), folder(spark))
+    return sunk(lv.live_close_pairs(rows)).select(
+        "video_id", "frame_id", "a_id", "b_id", q.r6("distance_m"), "closing"
+    )
+
+
+@round_trip(f"select video_id, zone_id, track_id, frame_id, gate_idx, gate_name, direction, confidence from ({BATCH_SQL['crossings']})")
+def stream_boxes_to_crossings(spark, sf):
+    """Moves, gates and the guesses that hold in one streaming query."""
+    boxes = stream_of(lv.ready(spark), q.ground(spark, sf), folder(spark))
+    return sunk(lv.live_crossings(boxes, ad.zones(spark, sf))).select(*q.EVENT_COLS)
+
+
+@round_trip(f"select * from ({BATCH_SQL['alert_cooldown']}) where id_lo = id_hi")
+def stream_alert_store(spark, sf):
+    """Alerts in a store that takes each micro-batch once: every batch is handed in twice."""
+    live = stream_of(spark, q.traj(spark, sf), folder(spark))
+    path = folder(spark)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(2):
+            ss.commit_batch(batch, batch_id, path)
+
+    fired = sa.stream_cooldown(sa.stream_vehicle_candidates(live))
+    ss.start_alert_handler(fired, folder(spark), twice).awaitTermination()
+    return ss.committed(spark, path).select("video_id", "alert_type", "id_lo", "id_hi", "frame_id", "track_id")
+
+
+@round_trip(
+    """select nation as file_id, ord, coalesce(nullif(trim(name), ''), 'pt' || ord) as name, lat, lon from (
+      select c_nationkey as nation, c_custkey % 7 = 0 as blank, case when c_custkey % 7 = 0 then ' ' else c_name end as name,
+        c_custkey / 100::double as lat, (c_custkey % 180)::double as lon,
+        row_number() over (partition by c_nationkey order by c_custkey) - 1 as ord from customer)"""
+)
+def kml_round_trip(spark, sf):
+    """One map document per nation, a placemark per customer."""
+    path = folder(spark)
+    marks = ad.table(spark, sf, "customer").select(
+        "c_nationkey", "c_custkey",
+        F.concat(
+            F.lit("<Placemark><name>"), F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")),
+            F.lit("</name><Point><coordinates>"), (F.col("c_custkey") % 180).cast("double").cast("string"), F.lit(","),
+            (F.col("c_custkey") / 100.0).cast("string"), F.lit(",0</coordinates></Point></Placemark>"),
+        ).alias("mark"),
+    )
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "mark"))), lambda m: m["mark"]), "\n")
+    head, tail = "<kml xmlns='http://www.opengis.net/kml/2.2'><Document>", "</Document></kml>"
+    documents = marks.groupBy("c_nationkey").agg(F.concat(F.lit(head), listed, F.lit(tail)).alias("value"))
+    documents.write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("file_id", r"c_nationkey=(\d+)", 1).cast("int")
+    return rd.read_kml(spark, f"{path}/*").withColumn("file_id", nation)

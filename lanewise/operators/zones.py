@@ -100,8 +100,11 @@ CROSSING = [
 ]
 
 
-def gate_events(seen: DataFrame) -> DataFrame:
-    """Touched gates and guesses ``e`` of each sighting; ``estimate`` tells guesses apart. Needs no shuffle."""
+def gate_events(seen: DataFrame, *keep: str) -> DataFrame:
+    """Touched gates and guesses ``e`` of each sighting; ``estimate`` tells guesses apart. Needs no shuffle.
+
+    Columns named in ``keep`` stay.
+    """
     # An outer explode, because Spark turns an inner one into a filter that it pushes below the
     # projections, and so works everything out twice.
     return (
@@ -125,7 +128,7 @@ def gate_events(seen: DataFrame) -> DataFrame:
             ),
         )
         .where("e is not null")
-        .select(*VISIT, "frame_id", "ts", "x", "y", "estimate", "e")
+        .select(*VISIT, "frame_id", "ts", "x", "y", "estimate", "e", *keep)
     )
 
 
