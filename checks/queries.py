@@ -21,6 +21,7 @@ from lanewise.operators import trajectories as tr
 from lanewise.operators import triples as tp
 from lanewise.operators import vectors as ve
 from lanewise.operators import zones as zo
+from lanewise.plans.joins import beside
 from lanewise.plans.staging import staged
 from lanewise.sources import adapters as ad
 from lanewise.sources import readers as rd
@@ -787,7 +788,15 @@ def classify_intent(spark, sf):
 
 @query
 def approx_search(spark, sf):
-    return ve.approx_search(_store(spark, sf, "chunk_id"), centroids(spark, sf), "chunk_id", 1.2, 3)
+    """Rows found for each query, and whether at least nine tenths of all true neighbours are among them."""
+    asked = ad.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")
+    )
+    store = _store(spark, sf, "chunk_id").select("chunk_id", "embedding")
+    near = staged(ve.approx_search(store, asked, "chunk_id", 5))
+    met = ve.recall(near, ve.search(store, asked, "chunk_id", 5), "chunk_id")
+    share = beside(met.select("query_id"), met.agg((F.sum("found") >= 0.9 * F.sum("asked")).alias("recall_ok")))
+    return near.groupBy("query_id").agg(F.count("*").alias("n")).join(share, "query_id").select("query_id", "n", "recall_ok")
 
 
 @query

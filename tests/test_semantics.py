@@ -275,3 +275,27 @@ def test_interval_join_equals_brute_force(spark):
     want = sorted((t, ts, a, b) for _, t, ts in rows for _, u, a, b in spans if t == u and a <= ts <= b)
     got = joins.interval_join(rdf, sdf, ["video_id", "track_id"], "t0", "t1")
     assert sorted((r.track_id, r.ts, r.t0, r.t1) for r in got.collect()) == want
+
+
+def test_approximate_search_gives_k_rows_and_most_neighbours(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(30)]  # a hot bucket of equal vectors
+    odd = [(2000, None), (2001, [1.0]), (2002, [None] * 16), (2003, [float("nan")] * 16)]
+    store = spark.createDataFrame(rows + odd, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame(rows[:40], "query_id long, query_vec array<double>")
+    exact = ve.search(store, asked, "chunk_id", 5).cache()
+    for cells in (ve.PART_CELLS, 64):
+        monkeypatch.setattr(ve, "PART_CELLS", cells)
+        near = ve.approx_search(store, asked, "chunk_id", 5, bits=5).cache()
+        got = {}
+        for r in near.collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+        assert all(sorted(x[0] for x in v) == [1, 2, 3, 4, 5] and len({x[1] for x in v}) == 5 for v in got.values())
+        assert len(got) == 40
+        share = ve.recall(near, exact, "chunk_id").agg(F.sum("found") / F.sum("asked")).first()[0]
+        assert share >= 0.9
+    assert ve.approx_search(store.limit(0), asked, "chunk_id", 5).count() == 0
+    assert ve.approx_search(store, asked.limit(0), "chunk_id", 5).count() == 0
+    few = ve.approx_search(store.where("chunk_id < 3"), asked, "chunk_id", 5)
+    assert few.count() == 3 * 40
