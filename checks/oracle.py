@@ -345,6 +345,28 @@ CTE = {
         """select query_id, list(m order by i) as query_vec from (select label::BIGINT as query_id, i, sum(floor(e::DOUBLE * 1000000))::DOUBLE / count(*)::DOUBLE / 1000000::DOUBLE as m
           from (select label, unnest(embedding) as e, generate_subscripts(embedding, 1) as i from embeddings) group by all) group by query_id""",
     ),
+    "snapshot": (
+        ["story"],
+        """select video_id || '/' || track_id || '/' || frame_id as profile_id, track_id, summary from
+        (select *, lag(summary) over (partition by video_id, track_id order by frame_id) as before from story) where before is distinct from summary""",
+    ),
+    "term": (
+        ["snapshot"],
+        r"""select profile_id, term, count(*) as tf from (
+            select profile_id, unnest(regexp_extract_all(lower(summary), '[\p{L}\p{N}]+(?:\.\p{N}+)?')) as term from snapshot) group by all""",
+    ),
+    "idf": (
+        ["term"],
+        "select term, ln(((select count(*) from snapshot) + 1)::DOUBLE / (count(*) + 1)::DOUBLE) as idf from term group by term",
+    ),
+    "weight": (["idf"], "select profile_id, term, round(tf * idf * 1000)::bigint as w from term join idf using (term) where round(tf * idf * 1000) > 0"),
+    "question": (
+        ["idf"],
+        r"""select query_id, term, round(tf * idf * 1000)::bigint as q from (select query_id, term, count(*) as tf from (
+            select query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:\.\p{N}+)?')) as term from (values
+              (0::bigint, 'braking, then stationary'), (1, 'accelerating after moving for 1.0'), (2, 'no history yet'),
+              (3, 'stationary for 3.0, speed 0.0')) t(query_id, text)) group by all) join idf using (term) where round(tf * idf * 1000) > 0""",
+    ),
     "knn": (
         ["centroid"],
         """select query_id, vec_id, d, row_number() over (partition by query_id order by d, vec_id) as rank
@@ -365,7 +387,7 @@ CTE = {
 
 
 #: Steps that are read more than once and are worked out once.
-MATERIALIZED = ("traj", "cells", "around", "pairs")
+MATERIALIZED = ("traj", "cells", "around", "pairs", "snapshot", "term")
 
 
 def sql(body, *needs):
@@ -567,7 +589,14 @@ SQL = {
     "interaction_partners": sql("select video_id, subject, object, predicate, count(*) as times from edge group by all", "edge"),
     "entity_degree": sql("select video_id, name, count(*) as degree, count(distinct partner) as partners from ends group by all", "ends"),
     "search_events": sql("select query_id, vec_id as chunk_id, rank, round(1 / (1 + d), 4) as score from knn where rank <= 3", "knn"),
-    "search_profiles": sql("select query_id, vec_id as profile_id, rank, round(1 / (1 + d), 4) as score from knn where rank <= 3", "knn"),
+    "search_profiles": sql(
+        r"""select query_id, profile_id, rank, round(c, 4) as score from (
+          select *, row_number() over (partition by query_id order by c desc, profile_id) as rank from (
+            select query_id, profile_id, dot::DOUBLE / sqrt(nw::DOUBLE * nq::DOUBLE) as c from (
+              select query_id, profile_id, sum(w * q)::bigint as dot from weight join question using (term) group by all)
+            join (select profile_id, sum(w * w)::bigint as nw from weight group by all) using (profile_id)
+            join (select query_id, sum(q * q)::bigint as nq from question group by all) using (query_id))) where rank <= 20""", "weight", "question"),
+    "search_profile_vectors": sql("select query_id, vec_id as profile_id, rank, round(1 / (1 + d), 4) as score from knn where rank <= 3", "knn"),
     "search_many": sql(
         """select query_id, chunk_id, rank, round(1 / (1 + d), 4) as score from (
           select q.vec_id as query_id, e.vec_id as chunk_id, d, row_number() over (partition by q.vec_id order by d, e.vec_id) as rank

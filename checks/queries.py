@@ -744,8 +744,20 @@ def search_events(spark, sf):
     )
 
 
+QUESTIONS = ("braking, then stationary", "accelerating after moving for 1.0", "no history yet", "stationary for 3.0, speed 0.0")
+
+
 @query
 def search_profiles(spark, sf):
+    """Which snapshots of vehicle profiles read most like each of four questions?"""
+    named = F.format_string("%s/%d/%d", "video_id", "track_id", "frame_id")
+    snapshots = staged(profile_snapshots(spark, sf).select(named.alias("profile_id"), F.col("summary").alias("text")))
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, text string")
+    return ve.search_profiles(snapshots, asked, 20)
+
+
+@query
+def search_profile_vectors(spark, sf):
     return ve.search_profiles(_store(spark, sf, "profile_id"), centroids(spark, sf), 3).select(
         "query_id", "profile_id", "rank", "score"
     )

@@ -299,3 +299,31 @@ def test_approximate_search_gives_k_rows_and_most_neighbours(spark, monkeypatch)
     assert ve.approx_search(store, asked.limit(0), "chunk_id", 5).count() == 0
     few = ve.approx_search(store.where("chunk_id < 3"), asked, "chunk_id", 5)
     assert few.count() == 3 * 40
+
+
+def test_text_search_is_cosine_of_weights(spark):
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    words = ["braking", "moving", "stationary", "for", "2.5", "3", "é", "now"]
+    texts = {f"p{i:02d}": " ".join(["vehicle", *rng.choices(words, k=rng.randint(0, 8))]) for i in range(40)}
+    rows = list(texts.items()) + [("none", None), ("empty", "")]
+    store = spark.createDataFrame([(*r, 1.0) for r in rows], "profile_id string, text string, score double")
+    asked = {f"q{i}": texts[f"p{i:02d}"] for i in range(5)} | {"unknown": "zebra", "null": None}
+    got = ve.search_profiles(store, spark.createDataFrame(list(asked.items()), "query_id string, text string"), 4).collect()
+
+    terms = {p: Counter(re.findall(r"[^\W_]+(?:\.\d+)?", (t or "").lower())) for p, t in rows}
+    df = Counter(w for c in terms.values() for w in c)
+    idf = {w: math.log((len(rows) + 1) / (n + 1)) for w, n in df.items()}
+    weigh = lambda c: {w: round(n * idf[w] * 1000) for w, n in c.items() if w in idf}
+    index = {p: weigh(c) for p, c in terms.items()}
+    want = []
+    for qid, text in asked.items():
+        q = weigh(Counter(re.findall(r"[^\W_]+(?:\.\d+)?", (text or "").lower())))
+        norm = lambda v: sum(x * x for x in v.values())
+        found = [(-sum(q[w] * v.get(w, 0) for w in q) / math.sqrt(norm(v) * norm(q)), p) for p, v in index.items() if any(q[w] * v.get(w, 0) for w in q)]
+        want += [(qid, p, i, round(-c, 4)) for i, (c, p) in enumerate(sorted(found)[:4], 1)]
+    assert sorted((r.query_id, r.profile_id, r.rank) for r in got) == sorted(w[:3] for w in want)
+    assert {(r.query_id, r.rank): r.score for r in got} == pytest.approx({(q, i): c for q, _, i, c in want}, abs=1e-4)
