@@ -10,6 +10,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,9 +46,30 @@ TRAINING_PAGES = 300
 CHAIN = 64
 
 
+class Path:
+    """An open element with what its ancestors and it hold: tags, words of their attributes, block tags nearest to the text.
+
+    A child that adds nothing new shares its parent's sets, so that a deep page costs no more than a long one.
+    """
+
+    __slots__ = ("tag", "tags", "words", "blocks", "label")
+
+    def __init__(self, tag: str = "", words: str = "", label: int | None = None, up: "Path | None" = None):
+        own = {w for w in re.split(r"[^a-z]+", words) if w}
+        self.tag = tag
+        self.tags = frozenset() if up is None else up.tags if tag in up.tags else up.tags | {tag}
+        self.words = frozenset() if up is None else up.words if own <= up.words else up.words | own
+        self.blocks = () if up is None else (*up.blocks, tag)[-2:] if tag in BLOCK else up.blocks
+        self.label = label if label is not None or up is None else up.label
+
+    @property
+    def key(self) -> tuple:
+        return self.tag, self.tags, self.words, self.blocks
+
+
 @dataclass
 class Block:
-    around: tuple[tuple[str, str], ...]
+    around: Path
     label: int | None
     text: str = ""
     linked: int = 0
@@ -60,9 +82,10 @@ def read_blocks(page: str, labelled: bool = False) -> list[Block]:
     ``labelled`` pages are those of ``variant``, whose elements say what they are.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str, int | None]] = []
+    root = Path()
+    stack: list[Path] = []
+    open_tags: Counter[str] = Counter()
     now: Block | None = None
-    links = 0
     unclosed: set[str] = set()
 
     def text(raw: str) -> None:
@@ -70,13 +93,17 @@ def read_blocks(page: str, labelled: bool = False) -> list[Block]:
         if now is None:
             if not raw.strip():
                 return
-            label = next((y for _, _, y in reversed(stack) if y is not None), None)
-            now = Block(tuple((t, c) for t, c, _ in stack), label)
+            around = stack[-1] if stack else root
+            now = Block(around, around.label)
             out.append(now)
         now.parts.append(raw)
-        if links:
+        if open_tags["a"]:
             now.linked += len(raw)
 
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            open_tags[stack.pop().tag] -= 1
+
     at, end = 0, len(page)
     while at < end:
         m = TAG.search(page, at)
@@ -94,10 +121,10 @@ def read_blocks(page: str, labelled: bool = False) -> list[Block]:
         elif tag == "br" and now is not None:
             now.parts.append(" ")
         if m[1]:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                links = sum(t == "a" for t, _, _ in stack)
+            if open_tags[tag]:
+                while stack[-1].tag != tag:
+                    leave(len(stack) - 1)
+                leave(len(stack) - 1)
             continue
         if tag in RAW:
             if tag == "svg" and m[3].rstrip(">").endswith("/"):
@@ -113,13 +140,12 @@ def read_blocks(page: str, labelled: bool = False) -> list[Block]:
         if tag in VOID or m[3].rstrip(">").endswith("/") and tag not in BLOCK:
             continue
         ends = CLOSES.get(tag)
-        if ends:
+        if ends and any(open_tags[t] for t in ends):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    links = sum(t == "a" for t, _, _ in stack)
+                if stack[i].tag in ends:
+                    leave(i)
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i].tag in BLOCK:
                     break
         words, label = "", None
         if "=" in m[3]:
@@ -127,8 +153,8 @@ def read_blocks(page: str, labelled: bool = False) -> list[Block]:
             own = found.pop("data-label", None)
             label = int(own) if labelled and own is not None else None
             words = " ".join(found.values()).lower()
-        stack.append((tag, words, label))
-        links += tag == "a"
+        stack.append(Path(tag, words, label, stack[-1] if stack else root))
+        open_tags[tag] += 1
     for b in out:
         raw = "".join(b.parts)
         b.text = SPACES.sub(" ", html.unescape(raw)).strip()
@@ -140,15 +166,9 @@ def bucket(name: str) -> int:
     return zlib.crc32(name.encode()) % BUCKETS
 
 
-def structure_features(around: tuple[tuple[str, str], ...]) -> list[str]:
-    tags = [t for t, _ in around]
-    names = {f"in:{t}" for t in tags}
-    for t, words in around:
-        names.update(f"word:{w}" for w in re.split(r"[^a-z]+", words) if w)
-    names.add(f"parent:{tags[-1] if tags else ''}")
-    blocks = [t for t in tags if t in BLOCK]
-    names.add(f"block:{'>'.join(blocks[-2:])}")
-    return sorted(names)
+def structure_features(around: Path) -> list[str]:
+    names = {f"in:{t}" for t in around.tags} | {f"word:{w}" for w in around.words}
+    return sorted(names | {f"parent:{around.tag}", f"block:{'>'.join(around.blocks)}"})
 
 
 def text_features(b: Block) -> list[str]:
@@ -178,11 +198,12 @@ class Field:
     def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
         out = []
         for b in blocks:
-            base = self._known.get(b.around)
+            around = b.around.key
+            base = self._known.get(around)
             if base is None:
                 base = self.emit[[bucket(f) for f in structure_features(b.around)]].sum(axis=0)
                 if len(self._known) < 10_000:
-                    self._known[b.around] = base
+                    self._known[around] = base
             key = tuple(text_features(b))
             more = self._known.get(key)
             if more is None:
@@ -277,8 +298,7 @@ MAIN_TAGS = frozenset(("article", "main"))
 def label_blocks(blocks: list[Block]) -> bool:
     """Labels a page by its markup; False if the page has no ``article`` or ``main`` to go by."""
     for b in blocks:
-        tags = {t for t, _ in b.around}
-        words = {w for _, c in b.around for w in re.split(r"[^a-z]+", c)}
+        tags, words = b.around.tags, b.around.words
         side = tags & SIDE_TAGS or words & SIDE_WORDS or "header" in tags and not tags & MAIN_TAGS
         b.label = int(bool(tags & MAIN_TAGS) and not side)
     return any(b.label for b in blocks)

@@ -7,6 +7,7 @@ the one of higher priority stays, then the longer one; what lies inside a kept o
 """
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -174,19 +175,25 @@ def detect(line: bytes, present: set[bytes]) -> list[Detection]:
         for m in rule.regex.finditer(line)
     ]
     found.sort(key=lambda d: (-d.rule.priority, d.start - d.end, d.start, d.rule.label))
+    # Kept ones do not overlap, so that only the neighbours of a place can reach into it.
     kept: list[Detection] = []
+    starts: list[int] = []
     for d in found:
+        i = bisect_right(starts, d.start)
         # Inside a kept one, or across its border: what was kept first has the higher rank.
-        if not any(d.start < k.end and k.start < d.end for k in kept):
-            kept.append(d)
-    return sorted(kept, key=lambda d: d.start)
+        if (i == 0 or kept[i - 1].end <= d.start) and (i == len(kept) or starts[i] >= d.end):
+            kept.insert(i, d)
+            starts.insert(i, d.start)
+    return kept
 
 
 def places(line: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which the phrase's words stand in a row."""
-    out, at = [], line.find(b" " + phrase + b" ")
+    out, number, before = [], 0, 0
+    at = line.find(b" " + phrase + b" ")
     while at >= 0:
-        out.append(line.count(b" ", 0, at))
+        number, before = number + line.count(b" ", before, at), at
+        out.append(number)
         at = line.find(b" " + phrase + b" ", at + 1)
     return out
 

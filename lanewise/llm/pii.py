@@ -117,6 +117,14 @@ def swap_number(digits: str, key: bytes, kind: str, ok=None) -> str:
     return f"{Permutation(key, 10**n, kind)(int(digits), inside):0{n}d}"
 
 
+#: A word right before a number that makes it an account; one that makes four numbers with dots a version.
+ACCOUNT = (
+    r"(?:accounts?|acct|a/c|cards?|konto|kreditkarte|karte|compte|carte|cuenta|tarjeta)"
+    r"(?:[ .:#-]{1,3}(?:no|nr|num|number|nummer|numero|id|is))?[ .:#=-]{1,4}"
+)
+CUE_CHARS = 20
+VERSION = re.compile(r"(?:\bv|\bver|version|release|build)\W{0,3}\Z", re.IGNORECASE)
+
 # Each function gets the match and the key and returns the new text, or None if the check fails.
 
 
@@ -129,14 +137,23 @@ def card(m: re.Match, key: bytes) -> str | None:
             if len(head) >= 13 and luhn_digit(head[:-1]) == head[-1]:
                 rest = swap_number(d[len(head) :], key, "rest")
                 return card(ANY.match(m[0], 0, n), key) + refill(m[0][n:], rest, DIGITS)
-        # No card, but a run this long is an account of some kind: any other that fails the check too.
-        new = swap_number(d, key, "account", lambda x: luhn_digit(x[:-1]) != x[-1])
+        return None
     else:
         body = swap_number(d[:-1], key, "card")
         new = body + luhn_digit(body)
     return refill(m[0], new, DIGITS)
 
 
+def account(m: re.Match, key: bytes) -> str | None:
+    """A number that a word calls an account and that is no card: another that is none."""
+    value = m["account_value"]
+    d = "".join(c for c in value if c in DIGITS)
+    if luhn_digit(d[:-1]) == d[-1] or card(ANY.match(value), key):
+        return None
+    new = swap_number(d, key, "account", lambda x: luhn_digit(x[:-1]) != x[-1])
+    return m["account_head"] + refill(value, new, DIGITS)
+
+
 def phone(m: re.Match, key: bytes) -> str | None:
     d = "".join(c for c in m[0] if c in DIGITS)
     plus = m[0].startswith("+")
@@ -166,6 +183,8 @@ def ip(m: re.Match, key: bytes) -> str | None:
     parts = m[0].split(".")
     if any(int(p) > 255 or len(p) > 1 and p[0] == "0" for p in parts):
         return None
+    if VERSION.search(m.string, max(0, m.start() - CUE_CHARS), m.start()):
+        return None
     x = Permutation(key, 1 << 32, "ip")(int.from_bytes(bytes(map(int, parts)), "big"))
     return ".".join(map(str, x.to_bytes(4, "big")))
 
@@ -244,6 +263,7 @@ KINDS = (
     Kind("ip", rf"(?<![{WORD}.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?!\.?[0-9]){AFTER}", ip),
     Kind("date", rf"(?<![{WORD}/.-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?=T[0-9])|(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}([/.])[0-9]{{1,2}}\1[0-9]{{4}})(?![{WORD}/-]))", date),
     Kind("ssn", rf"(?<![{WORD}-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![{WORD}-])", ssn),
+    Kind("account", rf"(?P<account_head>{BEFORE}(?i:{ACCOUNT}))(?P<account_value>[0-9](?:[ -]?[0-9]){{12,18}})(?![{WORD}-])", account),
     Kind("card", rf"(?<![{WORD}+-])[0-9](?:[ -]?[0-9]){{12,18}}(?![{WORD}-])", card),
     Kind(
         "phone",
