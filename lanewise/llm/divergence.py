@@ -97,7 +97,7 @@ def letter_words() -> Column:
 
 
 def with_rules(docs: DataFrame) -> DataFrame:
-    """``row`` (the document), the base columns and ``_classes``, ``_words`` (letters only, lower case)."""
+    """``row`` (the document), the base columns and ``_classes``, ``_spaced`` (words of letters, lower case, two spaces around each)."""
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = source.withColumn("_text", F.coalesce(F.col("row")["text"], F.lit("")))
     symbol = NAMES.index("symbol")
@@ -108,7 +108,7 @@ def with_rules(docs: DataFrame) -> DataFrame:
             {
                 "_tokens": F.array_remove(F.split("_text", f"[{SPACE}]+"), ""),
                 "_lines": lines,
-                "_words": letter_words(),
+                "_spaced": F.regexp_replace(F.concat(F.lit(" "), F.lower("_text"), F.lit(" ")), r"\P{L}+", "  "),
             }
         )
         .withColumns(
@@ -131,24 +131,44 @@ def with_rules(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per language (null is one): ``ref_classes``, ``ref_words``, ``ref_counts`` (one more bin for other words).
 
-    Counted over all documents of at least ``min_words`` words. Word counts are added up before they
-    are shuffled; the first ``common`` words, ties by code point, are picked per language.
+    Counted over all documents of at least ``min_words`` words, in one pass: words and the documents' class
+    shares, as marked values beside them, are added up before they are shuffled. The first ``common`` words,
+    ties by code point, are picked per language; of the shares (whole permilles) the median counts,
+    which junk and copies move little.
     """
     text = docs.select(F.col("lang"), F.coalesce("text", F.lit("")).alias("_text"))
-    long = text.where(F.regexp_count("_text", F.lit(f"[^{SPACE}]+")) >= min_words)
-    counted = staged(long.select("lang", F.explode(letter_words()).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")))
+    long = with_classes(text.where(F.regexp_count("_text", F.lit(f"[^{SPACE}]+")) >= min_words))
+    # A mark holds a character that no word of letters has.
+    marks = [
+        F.concat(F.lit(f"{i}#"), F.floor(F.get("_classes", F.lit(i)) * 1000 / F.length("_text")).cast("string"))
+        for i in range(len(NAMES))
+    ]
+    values = long.select("lang", F.explode(F.concat(letter_words(), F.array(*marks))).alias("w"))
+    counted = staged(values.groupBy("lang", "w").agg(F.count("*").alias("n")))
+    marked = F.col("w").contains("#")
+    vocabulary = counted.where(~marked)
     first = Window.partitionBy("lang").orderBy(F.col("n").desc(), "w")
     tops = (
-        counted.withColumn("place", F.row_number().over(first))
+        vocabulary.withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= common)
         .groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("place", "w", "n"))).alias("top"), F.sum("n").alias("common"))
     )
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    # The median document: junk and copies move it little. Whole permilles keep the exact median small.
-    share = [F.floor(F.get("_classes", F.lit(i)) * 1000 / F.length("_text")).cast("long") for i in range(len(NAMES))]
-    classes = with_classes(long).select("lang", *[s.alias(n) for s, n in zip(share, NAMES, strict=True)]).groupBy("lang").agg(
-        F.array(*[F.expr(f"percentile_disc(0.5) within group (order by {n})").cast("long") for n in NAMES]).alias("ref_classes")
+    sizes = vocabulary.groupBy("lang").agg(F.sum("n").alias("total"))
+    # At most 1001 shares per class and language.
+    shares = counted.where(marked).select(
+        "lang", "n", *[F.split("w", "#")[i].cast("long").alias(c) for i, c in enumerate(("class", "share"))]
+    )
+    of_class = Window.partitionBy("lang", "class")
+    upto = F.sum("n").over(of_class.orderBy("share").rowsBetween(Window.unboundedPreceding, 0))
+    medians = (
+        shares.withColumns({"upto": upto, "docs": F.sum("n").over(of_class)})
+        .where(F.col("upto") * 2 >= F.col("docs"))
+        .groupBy("lang", "class")
+        .agg(F.min("share").alias("share"))
+    )
+    classes = medians.groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("class", "share"))), lambda x: x["share"]).alias("ref_classes")
     )
     # Languages as keys: null becomes a marked empty string.
     def keyed(df):
@@ -165,18 +185,21 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, min_words: int = MIN
     )
 
 
+def shares(counts: Column) -> Column:
+    """Counts as shares of their sum; null if they are all zeros."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+    return bound(total, lambda n: F.when(n > 0, F.transform(counts, lambda c: c / n)))
+
+
 def divergence(counts: Column, reference: Column) -> Column:
     """Jensen-Shannon divergence (base 2) of two arrays of counts; null if either is all zeros."""
-    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    n, m = add(counts), add(reference)
 
-    def part(c, r):
-        p, q = c / n, r / m
-        mid = (p + q) / 2
-        return F.when(c > 0, p * F.log(p / mid)).otherwise(0.0) + F.when(r > 0, q * F.log(q / mid)).otherwise(0.0)
+    def half(p: Column, q: Column) -> Column:
+        return F.when(p > 0, p * F.log(p / ((p + q) / 2))).otherwise(0.0)
 
-    total = F.aggregate(F.zip_with(counts, reference, part), F.lit(0.0), lambda s, x: s + x)
-    return F.when((n > 0) & (m > 0), F.greatest(total / (2 * log(2)), F.lit(0.0)))
+    parts = F.zip_with(shares(counts), shares(reference), lambda p, q: half(p, q) + half(q, p))
+    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(total / (2 * log(2)), F.when(total.isNotNull(), F.lit(0.0)))
 
 
 def judge(
@@ -199,13 +222,20 @@ def judge(
         {"_lang": F.coalesce(F.col("row")["lang"], F.lit("")), "_none": F.col("row")["lang"].isNull()}
     )
     refs = references(docs, common, min_words).where(F.col("ref_total") >= MIN_REFERENCE_WORDS)
-    # Each common word is counted by what is left without it; the rest is the last bin.
-    met = lookup_join(ruled, refs, ["_lang", "_none"]).withColumn(
-        "_bins", F.transform("ref_words", lambda r: (F.size("_words") - F.size(F.array_remove("_words", r))).cast("long"))
+    # Each word stands between two spaces of its own, so that a common one is counted by what its removal takes away.
+    bytes_of = F.octet_length
+    times = lambda w: (bytes_of("_spaced") - bytes_of(F.replace("_spaced", w, F.lit("")))).cast("long")
+    met = lookup_join(ruled, refs, ["_lang", "_none"]).withColumns(
+        {
+            "_n": (times(F.lit("  ")) / 2).cast("long") - 1,
+            "_bins": F.transform(
+                "ref_words", lambda r: (times(F.concat(F.lit(" "), r, F.lit(" "))) / (bytes_of(r) + 2)).cast("long")
+            ),
+        }
     )
-    rest = F.size("_words") - F.aggregate("_bins", F.lit(0).cast("long"), lambda s, x: s + x)
+    rest = F.col("_n") - F.aggregate("_bins", F.lit(0).cast("long"), lambda s, x: s + x)
     measured = (
-        met.withColumns({"_counts": F.concat("_bins", F.array(rest.cast("long"))), "_n": F.size("_words")})
+        met.withColumn("_counts", F.concat("_bins", F.array(rest)))
         .withColumns(
             {
                 "_class_js": divergence(F.col("_classes"), F.col("ref_classes")),
