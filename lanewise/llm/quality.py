@@ -7,13 +7,18 @@ answers. A document's perplexity is held against quantiles of the trusted docume
 in its language. The high one is taken by models that have not seen them: trusted texts are dealt
 into folds, and the counts of a fold are subtracted for its own documents. The low one is that of
 texts the whole model knows, since a model of fewer texts would set it too high.
+
+Few characters of context cannot tell a word said again from any other. So a word that the next one
+repeats is a mark of its own to the model: rare in trusted text, and all there is in a run of one word.
 """
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +28,9 @@ from lanewise.plans.joins import lookup_join
 from lanewise.plans.staging import staged
 
 ORDER = 4
-BEGIN, END = "\x02", "\x03"
+BEGIN, END, AGAIN = "\x02", "\x03", "\x04"
+#: A word that is followed by itself, with the space between.
+REPEATED = re.compile(r"(?<!\S)((\S)\S*+)\s++(?=\1(?!\S))")
 BLOCK_BYTES = 16 << 20
 #: Trusted texts are dealt into so many folds by hash of the text, so that copies share one.
 FOLDS = 4
@@ -47,8 +54,11 @@ MOST_CELLS = 1 << 22
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each between marks, and how many n-grams each text has.
 
-    Digits count as one character; NUL, which strings in arrays cannot end with, as a space.
+    Digits count as one character; NUL, which strings in arrays cannot end with, as a space; a word that
+    is followed by itself, with the space between, as the mark ``AGAIN`` and its first character: what
+    follows that pair in trusted text is the rest of the word, not the pair again.
     """
+    texts = [REPEATED.sub(AGAIN + r"\2", t) for t in texts]
     head = BEGIN * (ORDER - 1)
     flat = np.frombuffer("".join([f"{head}{t}{END}" for t in texts]).encode("utf-32-le", "replace"), np.uint32).copy()
     flat[(flat >= 0x30) & (flat <= 0x39)] = 0x30
@@ -174,7 +184,7 @@ def discounts(counts: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """``lang, gram, p, weight``, written once: the model of ``lang, text`` rows, see ``model_of``."""
+    """``lang, gram, p, weight``: the model of ``lang, text`` rows, see ``model_of``."""
     return model_of(staged(count_grams(trusted)).withColumnRenamed("c0", "c"))
 
 
@@ -184,7 +194,7 @@ def train_in_folds(trusted: DataFrame) -> DataFrame:
 
 
 def model_of(counts: DataFrame) -> DataFrame:
-    """``lang, gram, p, weight``, written once, of ``lang, gram, c``.
+    """``lang, gram, p, weight`` of ``lang, gram, c``; the levels are written on the way.
 
     ``p`` is the interpolated probability of a gram's last character after the others (null for what
     occurs as a context only), ``weight`` what a context hands on to the next shorter one. The empty
@@ -222,7 +232,7 @@ def model_of(counts: DataFrame) -> DataFrame:
         lower = staged(table)
         tables.append(lower)
 
-    return staged(_union(tables).join(_union(contexts), ["lang", "gram"], "full"))
+    return _union(tables).join(_union(contexts), ["lang", "gram"], "full")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -251,15 +261,36 @@ def log_probability(gram: str, p: dict[str, float], weight: dict[str, float]) ->
 # ---- scoring ------------------------------------------------------------------------------
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``text`` compressed row by row: what the shuffle to the blocks writes is mostly text."""
+    at = docs.columns.index("text")
+    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in docs.schema])
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [None if t is None else squeeze(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.set_column(at, "text", pa.array(texts, pa.binary()))
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked(block: pa.Table) -> pa.Table:
+    grow = zstandard.ZstdDecompressor().decompress
+    texts = pa.array((grow(t.as_py()) if t.is_valid else None for t in block["text"]), pa.binary())
+    return block.set_column(block.column_names.index("text"), "text", texts.cast(pa.string()))
+
+
 ASKED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.string())])
 
 
 def _ask(block: pa.Table) -> pa.Table:
     """The distinct grams, and parts of grams, that a block's texts are scored from."""
+    block = unpacked(block)
     wanted: dict[str, set] = {}
     number = block["block"][0].as_py()
     keys = zip(block["lang"].to_pylist(), block["trusted"].to_pylist(), strict=True)
-    for (lang, trusted), _, texts in by_language(list(keys), block.column("text")):
+    for (lang, trusted), _, texts in by_language(list(keys), block.column("text").combine_chunks()):
         grams = grams_of(texts)[0].tolist()
         wanted.setdefault(f"{lang}{MARK}", set()).update(grams)
         if trusted:  # all of one fold, see judge()
@@ -280,13 +311,12 @@ def _scorer(trusted_only: bool):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         fold = block["block"][0].as_py() % FOLDS if block.num_rows else 0
         block = block.drop_columns(["block"])
-        if trusted_only:
-            block = block.filter(block["trusted"])
+        block = unpacked(block.filter(block["trusted"]) if trusted_only else block)
         n = np.zeros(block.num_rows, np.int64)
         marks = ["", str(fold)] if trusted_only else [""]
         logs = [np.full(block.num_rows, np.nan) for _ in marks]
         now, models, values = None, [], []
-        for lang, rows, texts in by_language(block["lang"].to_pylist(), block["text"]):
+        for lang, rows, texts in by_language(block["lang"].to_pylist(), block["text"].combine_chunks()):
             grams, index, runs = grams_of(texts)
             n[rows] = runs
             if lang != now:  # one language at a time is held
@@ -348,6 +378,10 @@ def judge(
     # Carried once: the text stays out of ``row`` on the way.
     others = [c for c in docs.columns if c != "text"]
     dealt = dealt.select(F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("rest"), "lang", "text", "trusted", "block")
+    schema = T.StructType(
+        [*[f for f in dealt.schema if f.name != "block"], T.StructField("n_grams", T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
+    )
+    dealt = packed(dealt)
     asked = dealt.groupBy("block").applyInArrow(_ask, "block long, lang string, gram string")
     answers = asked.join(model, ["lang", "gram"])
 
@@ -368,9 +402,6 @@ def judge(
         ((F.col("low_bin") * BIN) - margin).alias("_least"),
         ((F.col("high_bin") + 1) * BIN + margin).alias("_most"),
     )
-    schema = T.StructType(
-        [*[f for f in dealt.schema if f.name != "block"], T.StructField("n_grams", T.LongType()), T.StructField("log_perplexity", T.DoubleType())]
-    )
     # One row for each language with trusted text.
     both = scored(False, schema).join(F.broadcast(limits), "lang", "left").withColumns(
         {"_least": F.col("_least") - room, "_most": F.col("_most") + room}
