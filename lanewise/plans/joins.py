@@ -5,10 +5,19 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
+#: Columns left out and compression make an estimate too small by some tens at most.
+SURE_BYTES = 256 << 10
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """At most ``max_rows`` rows and ``max_bytes`` bytes of values, written as JSON."""
+    """At most ``max_rows`` rows and ``max_bytes`` bytes of values.
+
+    What the optimizer takes to be tiny, by the size of its files, is believed at once; an explode, of which it
+    cannot know the rows, is not. Anything else is counted, as JSON.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) <= min(SURE_BYTES, max_bytes) and "Generate" not in plan.toString():
+        return True
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
     rows, used = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
     return rows <= max_rows and used <= max_bytes
@@ -47,25 +56,29 @@ def interval_join(
     end: str,
     ts: str = "ts",
     bucket: float = 10.0,
-    coarse: int = 64,
 ) -> DataFrame:
     """Rows with each span of their key that contains ``ts``, both ends included.
 
-    Both sides meet in time buckets, so a key with many rows and many spans is not multiplied out.
-    Spans over more than ``coarse`` buckets use buckets ``coarse`` times as long. Each span has one of
-    the two lengths and each row stands in a bucket of both, so rows are read and joined once.
+    Both sides meet in time buckets, so a key with many rows and many spans is not multiplied out. Buckets
+    have levels, each twice as long as the one below; a span uses the level at which it covers five buckets
+    at most. A row is copied once for each level that some span uses: not at all where no span is wide.
     """
     first, last, at = (f"floor({c} / {bucket})" for c in (start, end, ts))
-    wide = f"{last} - {first} >= {coarse}"
-    step = f"if({wide}, {coarse}, 1)"
-    sliced = spans.where(f"{start} <= {end}").withColumns(
-        {
-            "_wide": F.expr(wide),
-            "_bucket": F.expr(f"explode_outer(sequence(floor({first} / {step}), floor({last} / {step})))"),
-        }
+    sliced = (
+        spans.where(f"{start} <= {end}")
+        .withColumn("_level", F.expr(f"cast(greatest(0, ceil(log2(({last} - {first} + 1) / 4))) as int)"))
+        .withColumn(
+            "_bucket", F.expr(f"explode_outer(sequence(floor({first} / power(2, _level)), floor({last} / power(2, _level))))")
+        )
+    )
+    # A few dozen levels at most, whatever the spans.
+    used = sliced.agg(F.collect_set("_level").alias("_levels"))
+    placed = (
+        beside(rows, used)
+        .withColumn("_level", F.explode("_levels"))
+        .withColumn("_bucket", F.expr(f"floor({at} / power(2, _level))"))
+        .drop("_levels")
     )
-    both = f"inline(array(struct(false as _wide, {at} as _bucket), struct(true as _wide, floor({at} / {coarse}) as _bucket)))"
-    placed = rows.select("*", F.expr(both))
-    return placed.join(sliced, [*keys, "_wide", "_bucket"]).where(F.col(ts).between(F.col(start), F.col(end))).drop(
-        "_wide", "_bucket"
+    return placed.join(sliced, [*keys, "_level", "_bucket"]).where(F.col(ts).between(F.col(start), F.col(end))).drop(
+        "_level", "_bucket"
     )

@@ -24,5 +24,5 @@ def staged(df: DataFrame) -> DataFrame:
     The files survive the loss of executors. Emptying the folder is up to its owner.
     """
     path = f"{staging_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
