@@ -187,13 +187,11 @@ def describe(alerts: DataFrame, collision: float = COLLISION_M, proximity: float
     }
     both = "track_id, if(track_id = id_lo, id_hi, id_lo)"
     message = {
-        "SPEEDING": "format_string('Vehicle %d is SPEEDING at %.1f m/s (%.1f km/h).', track_id, measure, measure * 3.6D)",
-        "HARD_BRAKING": "format_string('Vehicle %d HARD BRAKING at %.1f m/s2.', track_id, measure)",
-        "AGGRESSIVE_ACCEL": "format_string('Vehicle %d AGGRESSIVE ACCELERATION at %.1f m/s2.', track_id, measure)",
-        "COLLISION_SUSPECTED": "format_string('COLLISION SUSPECTED: Vehicle %d and Vehicle %d are only %.2f m apart.',"
-        f" {both}, measure)",
-        "PROXIMITY_WARNING": "format_string('PROXIMITY WARNING: Vehicle %d and Vehicle %d are %.1f m apart and closing.',"
-        f" {both}, measure)",
+        "SPEEDING": "format_string('Over the limit: vehicle %d with %.1f km/h (%.1f m/s).', track_id, measure * 3.6D, measure)",
+        "HARD_BRAKING": "format_string('Vehicle %d slows down hard, by %.1f m/s2.', track_id, measure)",
+        "AGGRESSIVE_ACCEL": "format_string('Vehicle %d picks up speed fast, by %.1f m/s2.', track_id, measure)",
+        "COLLISION_SUSPECTED": f"format_string('Possible contact between vehicles %d and %d, %.2f m from each other.', {both}, measure)",
+        "PROXIMITY_WARNING": f"format_string('Vehicles %d and %d draw near, %.1f m left between them.', {both}, measure)",
     }
 
     def by_type(branches: dict[str, str]) -> str:
