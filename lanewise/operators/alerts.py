@@ -2,12 +2,15 @@
 
 from math import ceil
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.motion import with_motion
-from lanewise.plans.chunks import CHUNK, with_halo
+from lanewise.plans.chunks import CHUNK, with_chunk, with_halo
 from lanewise.plans.staging import staged
 from lanewise.schemas import (
     AGGRESSIVE_ACCEL_MS2,
@@ -206,47 +209,138 @@ def describe(alerts: DataFrame, collision: float = COLLISION_M, proximity: float
     )
 
 
+def group_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where the values of ``keys`` change in sorted rows; two nulls are equal."""
+    changed = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for key in keys:
+        column = batch.column(batch.schema.get_field_index(key))
+        before, after = column[:-1], column[1:]
+        differs = pc.fill_null(pc.not_equal(after, before), False).to_numpy(zero_copy_only=False)
+        known = pc.is_valid(column).to_numpy(zero_copy_only=False)
+        changed |= differs | (known[1:] != known[:-1])
+    return np.concatenate([[0], np.flatnonzero(changed) + 1]) if batch.num_rows else np.zeros(0, np.int64)
+
+
+def whole_groups(batches, keys: list[str]):
+    """Sorted batches cut anew, so that none ends inside a group."""
+    kept = None
+    for batch in batches:
+        if kept is not None and kept.num_rows:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        cut = int(group_starts(batch, keys)[-1]) if batch.num_rows else 0
+        if cut:
+            yield batch.slice(0, cut)
+        kept = batch.slice(cut)
+    if kept is not None and kept.num_rows:
+        yield kept
+
+
+def first_not_before(ts: np.ndarray, group: np.ndarray, at_ts: np.ndarray, at_group: np.ndarray, silence: float) -> np.ndarray:
+    """For each asked time the first row of its group that lies ``silence`` or more after it, else the row count.
+
+    Rows are sorted by group, then time.
+    """
+    n = len(ts)
+    low, high = np.searchsorted(group, at_group), np.searchsorted(group, at_group, side="right")
+    end = high
+    while (low < high).any():
+        middle = (low + high) // 2
+        later = ts[np.minimum(middle, n - 1)] - at_ts >= silence
+        high = np.where(later & (low < high), middle, high)
+        low = np.where(~later & (low < high), middle + 1, low)
+    return np.where(low < end, low, n)
+
+
+def chain_ends(following: np.ndarray) -> np.ndarray:
+    """The last row of each row's chain of successors; a row count stands for none. Doubles the steps each time."""
+    n = len(following)
+    jump = np.where(following < n, following, np.arange(n))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            return jump
+        jump = further
+
+
+def on_chains(following: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which rows the chains from ``starts`` visit, by doubled steps."""
+    n = len(following)
+    jump = np.append(following, n)
+    seen = np.zeros(n + 1, bool)
+    seen[starts] = True
+    while (jump[:-1] < n).any():
+        seen[jump[seen]] = True
+        jump = jump[jump]
+    return seen[:n]
+
+
 def cooldown(
     candidates: DataFrame, seconds: float = COOLDOWN_S, fps: int = 30, chunk_frames: int = CHUNK
 ) -> DataFrame:
     """Candidates that fire: an entity's alert type is silent until ``seconds`` after it last fired.
 
     The choice is greedy in time, so each firing depends on the one before. An entity's
-    candidates are cut into chunks of frames. Which candidate a chunk inherits as "last fired"
-    is one of those within ``seconds`` before it, or none that matters, so each chunk works out,
-    on its own, what it hands on for every one of them. Only these short hand-on lists are
+    candidates are cut into chunks of frames. Each candidate links to the first one after its
+    silence; the firings of a chunk are the chain of links from its first free candidate, followed
+    by doubled steps, so the work is near-linear in the candidates. Which candidate a chunk inherits as
+    "last fired" is one of those within ``seconds`` before it, or none that matters, so each chunk
+    hands on the end of the chain for every one of them. Only these short hand-on lists are
     walked in order, one entity after the other, in constant memory.
     """
     reach = ceil(seconds * fps) + 1
     chunk_frames = max(chunk_frames, reach)
     candidates = staged(candidates)
-    rest = [c for c in candidates.columns if c not in ENTITY]
-    silence = f"{float(seconds)}D"
-    # At most one candidate per frame: an array never outgrows its chunk.
-    packed = (
-        with_halo(candidates, "frame_id", back=reach, size=chunk_frames)
-        .groupBy(*ENTITY, "chunk")
-        .agg(F.collect_list(F.struct(*rest, "owned")).alias("all"))
-        .withColumn("all", F.expr("array_sort(all, (a, b) -> cast(signum(a.ts - b.ts) as int))"))
-        .withColumn("seq", F.expr("filter(all, c -> c.owned)"))
-        .where("size(seq) > 0")
-    )
-
-    def last_fired(start: str) -> str:
-        return f"aggregate(seq, {start}, (last, c) -> if(last is null or c.ts - last >= {silence}, c.ts, last))"
+    # Sorted by a number first: texts that begin alike are slow to compare.
+    silence = float(seconds)
+    group = [*ENTITY, "chunk"]
+    types = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    keys_sql = ", ".join(f"`{c}` {types[c]}" for c in ENTITY) + ", chunk long"
+
+    def columns(batch, *names):
+        return [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+
+    def hand_on(batches):
+        for batch in whole_groups(batches, group):
+            starts = group_starts(batch, group)
+            ts, owned, frame, chunk = columns(batch, "ts", "owned", "frame_id", "chunk")
+            owned = owned.astype(bool)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ts))))
+            own_ts, own_of = ts[owned], of[owned]
+            n = len(own_ts)
+            used, first = np.unique(own_of, return_index=True)
+            if not n:
+                continue
+            last = np.append(first[1:], n) - 1
+            ends = chain_ends(first_not_before(own_ts, own_of, own_ts, own_of, silence))
+            first_of, last_of = np.full(len(starts), -1), np.full(len(starts), -1)
+            first_of[used], last_of[used] = first, last
+            opens = np.flatnonzero(~owned & (first_of[of] >= 0))
+            opens = opens[own_ts[first_of[of[opens]]] - ts[opens] < silence]
+            then = first_not_before(own_ts, own_of, ts[opens], of[opens], silence)
+            exits = np.where(then < n, own_ts[ends[np.minimum(then, n - 1)]], ts[opens])
+            n_open = np.bincount(of[opens], minlength=len(starts))
+            near_end = frame[owned][last] >= (chunk[starts[used]] + 1) * chunk_frames - reach
+            wanted = used[(n_open[used] > 0) | near_end]
+            if not len(wanted):
+                continue
+            # Open starts stand in the order of their groups; groups that are left out have none.
+            offsets = pa.array(np.append(0, np.cumsum(n_open[wanted])), pa.int32())
+            head = batch.take(pa.array(starts[wanted]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[head.column(head.schema.get_field_index(c)) for c in group],
+                    pa.ListArray.from_arrays(offsets, pa.array(ts[opens], pa.float64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(exits, pa.float64())),
+                    pa.array(own_ts[ends[first_of[wanted]]], pa.float64()),
+                ],
+                names=[*group, "open", "exits", "fresh_exit"],
+            )
 
     handed_on = (
-        packed.withColumn(
-            "open", F.expr(f"transform(filter(all, c -> not c.owned and seq[0].ts - c.ts < {silence}), c -> c.ts)")
-        )
-        .where(f"size(open) > 0 or element_at(seq, -1).frame_id >= (chunk + 1) * {chunk_frames} - {reach}")
-        .select(
-            *ENTITY,
-            "chunk",
-            "open",
-            F.expr(f"transform(open, start -> {last_fired('start')}) as exits"),
-            F.expr(f"{last_fired('cast(null as double)')} as fresh_exit"),
-        )
+        with_halo(candidates.select(*ENTITY, "frame_id", "ts"), "frame_id", back=reach, size=chunk_frames)
+        .repartition(*group)
+        .sortWithinPartitions(F.xxhash64(*group), *group, "ts")
+        .mapInArrow(hand_on, f"{keys_sql}, open array<double>, exits array<double>, fresh_exit double")
     )
 
     def walk(batches):
@@ -261,31 +355,42 @@ def cooldown(
                 inherits = last is not None and last in starts
                 entries.append(last if inherits else None)
                 last = list(row.exits)[starts.index(last)] if inherits else row.fresh_exit
-            out = pdf[[*ENTITY, "chunk"]].copy()
+            out = pdf[group].copy()
             out["inherited"] = pd.array(entries, dtype="Float64")
             yield out
 
-    types = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*ENTITY, "chunk"]) + ", inherited double"
     inherited = (
         handed_on.repartition(*ENTITY)
-        .sortWithinPartitions(*ENTITY, "chunk")
-        .mapInPandas(walk, schema)
+        .sortWithinPartitions(*group)
+        .mapInPandas(walk, f"{keys_sql}, inherited double")
         .where("inherited is not null")
     )
 
-    fold = (
-        "aggregate(seq, named_struct('last', inherited, 'fired', cast(array() as array<bigint>)), (acc, c) ->"
-        f" if(acc.last is null or c.ts - acc.last >= {silence},"
-        " named_struct('last', c.ts, 'fired', array_append(acc.fired, c.frame_id)), acc), acc -> acc.fired)"
-    )
+    names = candidates.columns
+
+    def fire(batches):
+        for batch in whole_groups(batches, group):
+            starts = group_starts(batch, group)
+            ts, before = columns(batch, "ts", "inherited")
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ts))))
+            # What a chunk inherits stands before its rows.
+            carried = ~np.isnan(before.astype(float))
+            rows = ~carried
+            ts, of, carried_of, carried_ts = ts[rows], of[rows], of[carried], before[carried].astype(float)
+            if not len(ts):
+                continue
+            used, first = np.unique(of, return_index=True)
+            free = first[~np.isin(used, carried_of)]
+            after = first_not_before(ts, of, carried_ts, carried_of, silence)
+            fired = on_chains(first_not_before(ts, of, ts, of, silence), np.concatenate([free, after]))
+            yield batch.filter(pa.array(rows)).filter(pa.array(fired)).select(names)
+
     return (
-        packed.join(inherited, [*ENTITY, "chunk"], "left")
-        .withColumn("fired", F.expr(fold))
-        .select(*ENTITY, F.expr("explode_outer(filter(seq, c -> array_contains(fired, c.frame_id))) as c"))
-        .where("c is not null")
-        .select(*ENTITY, "c.*")
-        .select(*candidates.columns)
+        with_chunk(candidates, "frame_id", chunk_frames)
+        .unionByName(inherited, allowMissingColumns=True)
+        .repartition(*group)
+        .sortWithinPartitions(F.xxhash64(*group), *group, F.col("ts").asc_nulls_first())
+        .mapInArrow(fire, candidates.schema)
     )
 
 
