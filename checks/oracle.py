@@ -548,6 +548,11 @@ SQL = {
         g as (select *, lag(p) over (partition by video_id order by frame_id) as q from f)
         select video_id, frame_id, case when q is null then 999::DOUBLE else
           round(list_sum(list_transform(list_zip(p, q), lambda z: abs(z[1] - z[2])))::DOUBLE / len(p)::DOUBLE, 6) end as score from g""",
+    "motion_energy_bytes": """with f as (select 'cam' || (vec_id // 125) as video_id, vec_id % 125 as frame_id,
+          list_transform(embedding, lambda e: least(127, trunc(e::DOUBLE * 128)::INT)) as p from embeddings),
+        g as (select *, lag(p) over (partition by video_id order by frame_id) as q from f)
+        select video_id, frame_id, case when q is null then 999::DOUBLE else
+          round(list_sum(list_transform(list_zip(p, q), lambda z: abs(z[1] - z[2])))::DOUBLE / len(p)::DOUBLE, 6) end as score from g""",
     "motion_gate": sql("select video_id, frame_id, score from interval_tick join score using (video_id, frame_id) where score >= 2", "interval_tick", "score"),
     "forced_ticks": sql("select * from forced", "forced"),
     "macro_ticks": sql("select * from macro", "macro"),

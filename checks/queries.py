@@ -572,6 +572,11 @@ def motion_energy(spark, sf):
     return be.motion_energy(ad.grey_frames(spark, sf), 32).select("video_id", "frame_id", r6("score"))
 
 
+@query
+def motion_energy_bytes(spark, sf):
+    return be.motion_energy(ad.byte_frames(spark, sf), 32).select("video_id", "frame_id", r6("score"))
+
+
 @query
 def motion_gate(spark, sf):
     return be.motion_gate(be.interval_ticks(ad.boxes(spark, sf), FPS), ad.motion_scores(spark, sf)).select(

@@ -2,6 +2,8 @@
 
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,16 +147,89 @@ def eligible_frames(boxes: DataFrame) -> DataFrame:
     return boxes.where("frame_id > 0").groupBy("video_id", "frame_id").agg(F.min("ts").alias("ts"))
 
 
+def frame_changes(batches):
+    """Each sorted frame's mean absolute change since the one before in its chunk; one frame is held at a time.
+
+    The first and last frame of a chunk keep their pixels. Frames of unlike sizes have no change to tell.
+    """
+
+    def numbers(value):
+        if value is None or not value.is_valid:
+            return None
+        if pa.types.is_binary(value.type) or pa.types.is_large_binary(value.type):
+            return np.frombuffer(value.as_buffer(), np.uint8).astype(np.int16)
+        return value.values.to_numpy(zero_copy_only=False).astype(float)
+
+    def change(now, before):
+        if now is None or not len(now) or len(now) != len(before):
+            return None
+        mean = float(np.abs(now - before).mean())
+        return None if np.isnan(mean) else mean
+
+    schema, waiting = None, None
+
+    def batch_of(rows):
+        names = ["video_id", "frame_id", "chunk", "score", "is_first", "is_last", "edge"]
+        types = [schema.field("video_id").type, schema.field("frame_id").type, pa.int64(), pa.float64(), pa.bool_(), pa.bool_()]
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
+        edges = pa.array([None if e is None else e.as_py() for e in columns[6]], schema.field("pixels").type)
+        return pa.RecordBatch.from_arrays([*arrays, edges], names=names)
+
+    def done(row, is_last):
+        keys, score, is_first, pixels, _ = row
+        return (*keys, score, is_first, is_last, pixels if is_first or is_last else None)
+
+    for batch in batches:
+        schema, rows = batch.schema, []
+        video, frame, chunk = (batch.column(schema.get_field_index(c)).to_pylist() for c in ("video_id", "frame_id", "chunk"))
+        pixels = batch.column(schema.get_field_index("pixels"))
+        for i in range(batch.num_rows):
+            now = numbers(pixels[i])
+            same = waiting is not None and (waiting[0][0], waiting[0][2]) == (video[i], chunk[i])
+            if waiting is not None:
+                rows.append(done(waiting, not same))
+            before = waiting[4] if same else None
+            score = FIRST_FRAME_MOTION if before is None else change(now, before)
+            waiting = ((video[i], frame[i], chunk[i]), score, not same, pixels[i], now)
+        yield batch_of(rows)
+    if waiting is not None:
+        yield batch_of([done(waiting, True)])
+
+
 def motion_energy(frames: DataFrame, chunk_frames: int = CHUNK) -> DataFrame:
-    """Mean absolute pixel change since the frame before; the first frame counts as fully changed."""
-    change = F.aggregate(
-        F.zip_with("pixels", "prev_pixels", lambda a, b: F.abs(a - b).cast("double")),
-        F.lit(0.0),
-        lambda total, d: total + d,
-    ) / F.size("pixels")
-    pairs = previous(frames, ["video_id"], "frame_id", ["pixels"], chunk_frames)
-    score = F.when(F.col("prev_pixels").isNull(), FIRST_FRAME_MOTION).otherwise(change)
-    return pairs.select("video_id", "frame_id", score.alias("score"))
+    """Mean absolute pixel change since the frame before; the first frame counts as fully changed.
+
+    ``pixels`` is an array of numbers or a binary of bytes. A frame after one without pixels counts as
+    fully changed too; one without pixels itself, or of another size than the one before, has a null
+    score. Frames are compared within chunks; across a border only the last frame of a chunk and the
+    first of the next one meet.
+    """
+    pixels = frames.schema["pixels"].dataType
+    types = {c: frames.schema[c].dataType.simpleString() for c in ("video_id", "frame_id")}
+    schema = (
+        f"video_id {types['video_id']}, frame_id {types['frame_id']}, chunk long, score double,"
+        f" is_first boolean, is_last boolean, edge {pixels.simpleString()}"
+    )
+
+    def compared(rows):
+        keys = ["video_id", "chunk"]
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(frame_changes, schema)
+
+    scored = staged(compared(with_chunk(frames.select("video_id", "frame_id", "pixels"), "frame_id", chunk_frames)))
+    edge = ["video_id", "frame_id", "chunk", F.col("edge").alias("pixels")]
+    followed = scored.where("is_last").select(
+        "video_id", "chunk", F.lead("chunk").over(Window.partitionBy("video_id").orderBy("chunk")).alias("after")
+    )
+    last = (
+        scored.where("is_last")
+        .select(*edge)
+        .join(followed.where("after is not null"), ["video_id", "chunk"])
+        .select("video_id", "frame_id", F.col("after").alias("chunk"), "pixels")
+    )
+    met = compared(last.unionByName(scored.where("is_first").select(*edge)))
+    # Of such a pair the later frame counts; a video's first one stands alone.
+    return scored.where("not is_first").unionByName(met.where("is_last")).select("video_id", "frame_id", "score")
 
 
 def forced_ticks(eligible: DataFrame, fired: DataFrame) -> DataFrame:

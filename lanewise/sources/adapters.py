@@ -118,6 +118,12 @@ def grey_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as bytes, 128 brighter."""
+    byte = "lpad(hex(least(255, p + 128)), 2, '0')"
+    return grey_frames(spark, sf_dir).withColumn("pixels", F.expr(f"unhex(array_join(transform(pixels, p -> {byte}), ''))"))
+
+
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw scene descriptions in the shapes a language model returns them, one per event."""
     triples = (

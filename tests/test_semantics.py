@@ -327,3 +327,23 @@ def test_text_search_is_cosine_of_weights(spark):
         want += [(qid, p, i, round(-c, 4)) for i, (c, p) in enumerate(sorted(found)[:4], 1)]
     assert sorted((r.query_id, r.profile_id, r.rank) for r in got) == sorted(w[:3] for w in want)
     assert {(r.query_id, r.rank): r.score for r in got} == pytest.approx({(q, i): c for q, _, i, c in want}, abs=1e-4)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 8192])
+def test_motion_energy_of_arrays_and_bytes(spark, chunk):
+    rng = random.Random(5)
+    frames = {v: sorted(rng.sample(range(40), n)) for v, n in (("a", 25), ("b", 1), ("c", 12))}
+    rows = [(v, f, [rng.randrange(256) for _ in range(6)]) for v, fs in frames.items() for f in fs]
+    rows += [("d", 0, [1, 2]), ("d", 5, [3, 2]), ("d", 9, [3, 2, 1]), ("d", 11, None), ("d", 12, [9, 9])]
+    want, before = {}, {}
+    for v, f, p in rows:
+        q = before.get(v)
+        same = p is not None and q is not None and len(p) == len(q)
+        want[v, f] = 999.0 if q is None else sum(abs(x - y) for x, y in zip(p, q)) / len(p) if same else None
+        before[v] = p
+    arrays = spark.createDataFrame(rows, "video_id string, frame_id long, pixels array<int>").repartition(5)
+    binary = spark.createDataFrame([(v, f, p and bytes(p)) for v, f, p in rows], "video_id string, frame_id long, pixels binary")
+    for frame in (arrays, binary):
+        got = be.motion_energy(frame, chunk).collect()
+        assert len(got) == len(rows) and {(r.video_id, r.frame_id): r.score for r in got} == pytest.approx(want)
+        assert be.motion_energy(frame.limit(0), chunk).count() == 0
