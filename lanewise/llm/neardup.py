@@ -267,9 +267,13 @@ def verify(docs: DataFrame, classes: DataFrame, column: str, threshold: float, w
     bins = max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-total // (BLOCK_SHINGLES // 2)))
     chosen = cut.withColumn("block", F.when(small, 0).otherwise(F.pmod(F.xxhash64("key"), "blocks").cast("int")))
 
-    text = docs.select(F.col("doc_id").alias("rep"), F.col(column).alias("text"))
-    with_text = text.join(chosen.select("key", "rep", "group", "copies", "block", "blocks"), text["rep"].eqNullSafe(chosen["rep"]))
-    with_text = with_text.drop("rep")
+    wanted = chosen.select("key", "rep", "group", "copies", "block", "blocks")
+    text = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.col(column).alias("text"))
+    named = text.join(wanted.where("rep is not null"), "rep").drop("rep")
+    # Texts without an id are told apart by their key, each once.
+    nameless = with_key(docs.where("doc_id is null"), column).groupBy("key").agg(F.first(f"row.`{column}`").alias("text"))
+    unnamed = nameless.join(wanted.where("rep is null").drop("rep"), "key")
+    with_text = named.unionByName(unnamed)
     at = {c: i for i, c in enumerate(with_text.columns)}
     kept = ["key", "group", "copies", "block", "blocks"]
 
@@ -358,12 +362,19 @@ def one_of_each(docs: DataFrame, column: str = "text", **how) -> DataFrame:
     """The documents, all columns, with one row of each class: the one of the smallest doc_id."""
     joined = jaccard_join(docs, column, **how)
     winners = staged(joined.where("key = winner").select(F.col("class_id").alias("_id"), F.col("winner").alias("_key")).distinct())
-    near = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_id"]))
-    keyed = with_key(near, column)
-    mine = keyed.where("row._key = key").groupBy("key").agg(F.first("row").alias("row"))
+    named = with_key(docs.join(winners.where("_id is not null"), docs["doc_id"] == winners["_id"]), column).where("row._key = key")
+    # Rows without an id are found by their key.
+    nameless = with_key(docs.where("doc_id is null"), column).groupBy("key").agg(F.first("row").alias("row"))
+    unnamed = nameless.join(winners.where("_id is null").select(F.col("_key").alias("key")), "key", "left_semi")
+    names = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    mine = (
+        named.select("key", F.struct(*names).alias("row"))
+        .unionByName(unnamed.select("key", F.struct(*names).alias("row")))
+        .groupBy("key")
+        .agg(F.first("row").alias("row"))
+    )
     empty = with_key(docs, column).where("key is null")
-    cols = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return mine.select(*cols).unionByName(empty.select(*cols))
+    return mine.select(*names).unionByName(empty.select(*names))
 
 
 def with_key(docs: DataFrame, column: str) -> DataFrame:

@@ -49,7 +49,7 @@ def suffix_of(host: Column) -> Column:
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits and its verdict, null if none does. Of equal rules the first counts."""
+    """The longest rule that fits and its verdict, null if none does. Of rules of one length the last counts."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, text in sorted(rules, key=lambda r: len(r[1])):
         name, _, tail = text.partition("/")

@@ -203,6 +203,17 @@ def test_join_links_every_near_pair(spark, monkeypatch, block):
     assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_texts) for r in got], key=str) == brute_join(rows)
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    rows = [(None if i % 3 else d, t, lang, source) for i, (d, t, lang, source) in enumerate(near_rows())]
+    rows += [(None, r[1], "en", "s") for r in rows[:6]]
+    docs = frame(spark, rows)
+    got = neardup.jaccard_join(docs).collect()
+    assert sorted([(r.doc_id, r.class_id, r.n_links, r.n_texts) for r in got], key=str) == brute_join(rows)
+    kept = neardup.one_of_each(docs).collect()
+    winners = {r.winner for r in got}
+    assert sorted(neardup.word_key(common.words(r.text.encode())) for r in kept) == sorted(winners)
+
+
 def test_one_of_each_class_stays(spark, odd):
     kept = neardup.one_of_each(odd)
     assert kept.columns == odd.columns
