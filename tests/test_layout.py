@@ -1,5 +1,6 @@
 """Events are dealt to tasks by video, so that boxes need no shuffle, and tasks grow in number only."""
 
+import pandas as pd
 import pytest
 
 from checks import queries as q
@@ -10,6 +11,7 @@ from lanewise.operators import trajectories as tr
 from lanewise.operators import zones as zo
 from lanewise.plans.chunks import following, previous
 from lanewise.sources import adapters as ad
+from lanewise.streaming.kinematics import Steps
 
 
 def dealt_by(df) -> set[str]:
@@ -57,3 +59,23 @@ def test_neighbours_across_chunks_with_null_keys_and_values(spark):
     assert {(r.k, r.f): r.next_v for r in after.collect()} == {
         ("a", 0): None, ("a", 1): 7, ("a", 9): 8, ("a", 40): None, (None, 3): 2, (None, 33): None, ("b", 7): 4, ("b", 8): None,
     }
+
+
+def test_a_track_is_advanced_without_pandas_groups(monkeypatch):
+    """The same rows in two calls as in one, repeats, late rows and long gaps included; groups took 9 ms of 11 a call."""
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    frames = [*range(20), 22, 22, 40, 41, 43, *range(60, 80)]
+    rows = pd.DataFrame({"video_id": "v", "track_id": 1, "frame_id": frames, "box_ord": range(len(frames))}).assign(
+        ts=lambda r: r.frame_id / 10, x=lambda r: r.frame_id**2 / 7 + r.box_ord, y=lambda r: -r.frame_id * 1.0,
+        event_time=lambda r: pd.Timestamp("2000-01-01") + pd.to_timedelta(r.frame_id, unit="s"),
+    )
+    steps = Steps(10)
+    whole, history, latest = steps.advance(rows[::-1], None)
+    assert list(whole.frame_id) == sorted(set(frames)) and whole.warm.sum() == 13
+    assert whole[whole.frame_id == 22].box_ord.item() == 21
+    first, kept, _ = steps.advance(rows[:24], None)
+    second, after, until = steps.advance(rows[20:], kept)
+    pd.testing.assert_frame_equal(pd.concat([first, second], ignore_index=True), whole)
+    assert (after, until) == (history, latest)
+    assert steps.advance(rows[:5], after) == (None, None, None)
