@@ -107,3 +107,19 @@ def test_migration_reads_old_and_new_files(spark, tmp_path):
     assert {r.subject: (r.motion_state, r.phase) for r in got.collect()} == {
         "a": ("APPROACHING", "normal"), "b": ("PARALLEL", "conflict"),
     }
+
+
+def test_calibrations_of_many_cameras_in_few_files(spark, tmp_path):
+    docs = ['{"video_id": "a", "homography": [[1, 0, 0], [0, 1, 0], [0, 0, 1]]}', '{"video_id": "b", "homography": [[2, 0, 0], [0, 2, 0], [0, 0, 1]]}']
+    (tmp_path / "many.json").write_text("\n".join(docs))
+    rows = rd.read_calibrations(spark, str(tmp_path / "many.json"), lines=True).collect()
+    assert {r.video_id: r.h[0] for r in rows} == {"a": 1.0, "b": 2.0}
+
+
+def test_calibrations_round_trip_writes_few_files(spark, sf_dir, monkeypatch):
+    from checks import round_trips
+
+    read, rd_read = [], rd.read_calibrations
+    monkeypatch.setattr(round_trips.rd, "read_calibrations", lambda s, path, **how: read.append(path) or rd_read(s, path, **how))
+    round_trips.calibrations_round_trip(spark, sf_dir)
+    assert len(spark.read.text(read[0]).inputFiles()) <= spark.sparkContext.defaultParallelism
