@@ -79,3 +79,16 @@ def test_a_track_is_advanced_without_pandas_groups(monkeypatch):
     pd.testing.assert_frame_equal(pd.concat([first, second], ignore_index=True), whole)
     assert (after, until) == (history, latest)
     assert steps.advance(rows[:5], after) == (None, None, None)
+
+
+def test_candidates_are_written_once_where_they_lie_and_only_if_they_may_fire(spark, sf_dir, monkeypatch):
+    written, write = [], al.staged
+    monkeypatch.setattr(al, "staged", lambda df: (written.append(df), write(df))[1])
+    candidates = al.alert_candidates(q.traj(spark, sf_dir))
+    fired, seen = al.cooldown_tallied(candidates, fps=q.FPS, chunk_frames=q.CHUNK)
+    assert len(written) == 1 and dealt_by(written[0]) <= {"video_id"}
+    known = {r.alert_type: r["count"] for r in candidates.groupBy("alert_type").count().collect()}
+    assert {r.alert_type: r.n for r in seen.groupBy("alert_type").agg({"seen": "sum"}).toDF("alert_type", "n").collect()} == known
+    assert fired.count() <= written[0].where("sure is not null").count() < sum(known.values()) / 2
+    told = al.alert_effectiveness(candidates, fired).collect()
+    assert sorted(al.alert_effectiveness(seen, fired).collect()) == sorted(told)
