@@ -11,6 +11,7 @@ from lanewise.operators import trajectories as tr
 from lanewise.operators import zones as zo
 from lanewise.plans.chunks import following, previous
 from lanewise.sources import adapters as ad
+from lanewise.sources import readers as rd
 from lanewise.streaming.kinematics import Steps
 
 
@@ -92,3 +93,11 @@ def test_candidates_are_written_once_where_they_lie_and_only_if_they_may_fire(sp
     assert fired.count() <= written[0].where("sure is not null").count() < sum(known.values()) / 2
     told = al.alert_effectiveness(candidates, fired).collect()
     assert sorted(al.alert_effectiveness(seen, fired).collect()) == sorted(told)
+
+
+def test_boxes_from_files_are_dealt_once_and_only_the_columns_read(spark, tmp_path, sf_dir):
+    ad.boxes(spark, sf_dir).write.parquet(str(tmp_path / "b"))
+    boxes = rd.read_boxes(spark, str(tmp_path / "b")).groupBy("video_id").agg({"x1": "sum"})
+    plan = boxes._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "conf" not in plan.split("ReadSchema")[1]
+    assert dealt_by(boxes) <= {"video_id, chunk", "video_id"}
