@@ -101,3 +101,19 @@ def test_boxes_from_files_are_dealt_once_and_only_the_columns_read(spark, tmp_pa
     plan = boxes._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "conf" not in plan.split("ReadSchema")[1]
     assert dealt_by(boxes) <= {"video_id, chunk", "video_id"}
+
+
+def test_profile_lines_are_compared_where_they_lie(spark, sf_dir, monkeypatch):
+    written, write = [], be.staged
+    monkeypatch.setattr(be, "staged", lambda df: (written.append(df), write(df))[1])
+    lines = q.profile_snapshots(spark, sf_dir)
+    assert len(written) == 1 and dealt_by(written[0]) <= {"video_id"}
+    assert written[0].where("not _first and not _last").count() > 0 and lines.count() > 0
+
+
+def test_profile_lines_across_chunks(spark):
+    said = {0: "a", 1: "a", 2: " ", 3: "b", 5: "b", 9: "b", 10: "c", 13: "a", 14: None, 30: "a", 31: "b"}
+    rows = [(v, 1, f, t) for v in ("u", "v") for f, t in said.items()]
+    got = be.changed_profiles(spark.createDataFrame(rows, "video_id string, track_id long, frame_id long, summary string"), 4)
+    for v in ("u", "v"):
+        assert sorted(r.frame_id for r in got.where(got.video_id == v).collect()) == [0, 3, 10, 13, 31]
