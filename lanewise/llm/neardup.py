@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,9 @@ RECALL = 0.9999
 BLOCK_SHINGLES = 400_000
 #: A shingle that more classes of a block share is counted by matrix products, a rarer one by pairs.
 DENSE_FROM = 24
+#: Bits of the table that keeps texts without candidates out of the shuffle (4 MB), and of one of its rows.
+FILTER_BITS = 1 << 25
+PART_BITS = 1 << 15
 
 _RNG = np.random.default_rng(20_240_229)
 _BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -245,19 +248,45 @@ def compare_unit(threshold: float):
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """``node, component`` of classes that share a prefix in some tree, chained."""
-    prefixes = classes.select("key", F.explode("prefixes").alias("prefix"))
-    shared = prefixes.groupBy("prefix").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = prefixes.join(shared, "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    """``node, component`` of classes that share a prefix in some tree, chained; a node is the hash of a class's key.
+
+    Numbers instead of keys, as there are as many rows as classes times trees; they are dealt by prefix once. Two
+    classes of one hash are one node, which adds candidates; groups are compared exactly afterwards.
+    """
+    prefixes = classes.select(F.xxhash64("key").alias("node"), F.explode("prefixes").alias("prefix"))
+    first = F.min("node").over(Window.partitionBy("prefix"))
+    edges = prefixes.withColumn("first", first).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     return components(edges)
 
 
+def likely(docs: DataFrame, column: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``docs`` whose ``column`` may be among the ``wanted``: all of those, and few others.
+
+    ``wanted`` becomes a table of ``bits`` bits, whatever its size, that is broadcast; so a join that follows shuffles
+    hardly more than the rows it keeps.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        slot = F.pmod(F.xxhash64(column), F.lit(bits))
+        return df.withColumns({"_part": F.floor(slot / PART_BITS), "_bit": slot % PART_BITS})
+
+    parts = (
+        placed(wanted.select(column).where(F.col(column).isNotNull()))
+        .repartition("_part")
+        .groupBy("_part")
+        .agg(F.bitmap_construct_agg("_bit").alias("_set"))
+    )
+    byte = "cast(conv(hex(substring(_set, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int)"
+    met = placed(docs.where(F.col(column).isNotNull())).join(F.broadcast(parts), "_part")
+    return met.where(F.expr(f"(shiftright({byte}, cast(_bit % 8 as int)) & 1) = 1")).select(*docs.columns)
+
+
 def verify(docs: DataFrame, classes: DataFrame, column: str, threshold: float, width: int) -> DataFrame:
     """``key, other, texts, copies``: counts of links per class (no ``other``) and edges of a spanning forest."""
     members = staged(
         candidate_groups(classes)
-        .withColumnsRenamed({"node": "key", "component": "group"})
-        .join(classes.select("key", "rep", "copies", "runs"), "key")
+        .join(classes.select(F.xxhash64("key").alias("node"), "key", "rep", "copies", "runs"), "node")
+        .select("key", F.col("component").cast("string").alias("group"), "rep", "copies", "runs")
     )
     # Blocks by the number of shingles, so that long texts do not make large blocks.
     sizes = members.groupBy("group").agg(F.sum("runs").alias("total"))
@@ -269,7 +298,7 @@ def verify(docs: DataFrame, classes: DataFrame, column: str, threshold: float, w
 
     wanted = chosen.select("key", "rep", "group", "copies", "block", "blocks")
     text = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.col(column).alias("text"))
-    named = text.join(wanted.where("rep is not null"), "rep").drop("rep")
+    named = likely(text, "rep", wanted).join(wanted.where("rep is not null"), "rep").drop("rep")
     # Texts without an id are told apart by their key, each once.
     nameless = with_key(docs.where("doc_id is null"), column).groupBy("key").agg(F.first(f"row.`{column}`").alias("text"))
     unnamed = nameless.join(wanted.where("rep is null").drop("rep"), "key")

@@ -703,3 +703,23 @@ def test_stages_do_their_work(spark, sf_dir):
 def test_words_of_bytes_are_words_of_characters():
     text = "".join(map(chr, range(0x250))) + " ÀB\u2003c 😀x"
     assert [w.decode() for w in common.words(text.encode())] == plain_words(text)
+
+
+def test_only_texts_with_candidates_are_shuffled(spark):
+    docs = spark.range(50_000).selectExpr("id * 7 as rep", "cast(id as string) as text")
+    wanted = spark.range(0, 50_000, 40).selectExpr("id * 7 as rep").unionByName(spark.sql("select cast(null as bigint) as rep"))
+    kept = {r.rep for r in neardup.likely(docs, "rep", wanted).collect()}
+    asked = {7 * i for i in range(0, 50_000, 40)}
+    assert asked <= kept and len(kept) < len(asked) + 50
+    few = {r.rep for r in neardup.likely(docs, "rep", wanted, 1 << 15).collect()}
+    assert asked <= few  # a full table lets more through, but loses none
+    assert neardup.likely(docs, "rep", wanted.limit(0)).count() == 0
+    strings = neardup.likely(docs.selectExpr("cast(rep as string) as rep", "text"), "rep", wanted.selectExpr("cast(rep as string) as rep"))
+    assert asked <= {int(r.rep) for r in strings.collect()}
+
+
+def test_candidates_are_numbers_dealt_by_prefix_once(spark):
+    rows = [("a", [1, 2]), ("b", [2, 3]), ("c", [3, 4]), ("d", [9, 8])]
+    groups = neardup.candidate_groups(spark.createDataFrame(rows, "key string, prefixes array<long>"))
+    assert dict(groups.dtypes) == {"node": "bigint", "component": "bigint"}
+    assert groups.count() == 3 and groups.select("component").distinct().count() == 1
