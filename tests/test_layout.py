@@ -117,3 +117,13 @@ def test_profile_lines_across_chunks(spark):
     got = be.changed_profiles(spark.createDataFrame(rows, "video_id string, track_id long, frame_id long, summary string"), 4)
     for v in ("u", "v"):
         assert sorted(r.frame_id for r in got.where(got.video_id == v).collect()) == [0, 3, 10, 13, 31]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_only_vehicles_with_a_journey_become_trajectories(spark, sf_dir, monkeypatch, small):
+    monkeypatch.setattr("lanewise.plans.joins.small_enough", lambda *_: small)
+    plan = q.brake_before_exit(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Picked among events, below the repartition, so that no box is shuffled for it.
+    assert "LeftSemi" in plan and plan.index("RepartitionByExpression") < plan.index("LeftSemi")
+    # The derivative is worked out once, not once more in the filter.
+    assert not [line for line in plan.splitlines() if "Filter" in line and "SQRT" in line]

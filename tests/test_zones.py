@@ -96,3 +96,21 @@ def test_flow(spark):
     ]
     assert zo.gate_counts(zo.in_period(ev, gate_name="East")).collect()[0].exit == 1
     assert zo.top_dwell(zo.od_summary(ev), 1).first().track_id == 1
+
+
+@pytest.mark.parametrize("gates", [GATES, [], [("Middle", (400.0, 390.0), (520.0, 410.0))], [("Odd", (float("nan"), 1.0), (2.0, 3.0))]])
+def test_quick_boxes_tell_what_the_walls_tell(spark, gates):
+    """Moves that touch no wall are told by ``reach`` and ``clear``, and no other move is."""
+    rng = random.Random(3)
+    points = [tuple(rng.uniform(-100, 1100) if rng.random() < 0.9 else rng.choice([120.0, 820.0, 180.0, 620.0]) for _ in range(4)) for _ in range(3000)]
+    points += [(None, None, 1.0, 2.0), (float("nan"), 300.0, 300.0, 300.0), (float("inf"), 300.0, 300.0, 300.0)]
+    moves = spark.createDataFrame(
+        [("v", i, *p) for i, p in enumerate(points)], "video_id string, track_id long, prev_px double, prev_py double, px double, py double"
+    )
+    polygon = POLYGON[:2] + [(900.0, 400.0)] + POLYGON[2:]
+    seen = zo.against_zones(moves, zones(spark, polygon, gates), near_walls_only=False)
+    exact = {r.track_id for r in seen.where(f"prev_px is null or exists(walls, w -> {zo._meets('w')})").collect()}
+    near = zo.against_zones(moves, zones(spark, polygon, gates))
+    assert {r.track_id for r in near.collect()} == exact
+    inside = seen.where(f"{zo._within('clear')} or not {zo._meets('reach')}").count()
+    assert inside > 600 if gates in (GATES, []) else inside > 0
