@@ -329,6 +329,23 @@ def test_text_search_is_cosine_of_weights(spark):
     assert {(r.query_id, r.rank): r.score for r in got} == pytest.approx({(q, i): c for q, _, i, c in want}, abs=1e-4)
 
 
+def test_text_search_leaves_postings_where_they_lie(spark, monkeypatch):
+    """Texts and words are not dealt anew; rare terms and many repeats give the same scores as common ones."""
+    rng = random.Random(4)
+    texts = [(f"p{i:02d}", " ".join(rng.choices(["a", "b", "2.5", "é"], k=rng.randint(0, 30)) + [f"v{i % 9}"])) for i in range(50)]
+    store = spark.createDataFrame([*texts, ("none", None)], "profile_id string, text string")
+    asked = spark.createDataFrame([(0, "a b b v3"), (1, "2.5 " * 12), (2, None)], "query_id long, text string")
+    want = ve.search_profiles(store, asked, 5).collect()
+    assert len(want) == 10
+    monkeypatch.setattr(ve, "COMMON_TERMS", 2)
+    monkeypatch.setattr(ve, "REPEATS", 1)
+    assert sorted(ve.search_profiles(store, asked, 5).collect()) == sorted(want)
+    monkeypatch.setattr(ve, "staged", lambda df: df)
+    plan = ve.search_profiles(store, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and not [d for d in dealt if "profile_id" in d and "term" in d]
+
+
 @pytest.mark.parametrize("chunk", [1, 4, 8192])
 def test_motion_energy_of_arrays_and_bytes(spark, chunk):
     rng = random.Random(5)
